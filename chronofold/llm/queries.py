@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import bpe, chat, common, media, mixture, rollup, simhash
+from chronofold.llm import bpe, chat, common, langid, media, mixture, rollup, simhash
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,12 +73,16 @@ FROM t GROUP BY source, lang, tokenizer
 """
 
 
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_dedup, op2_byte_bpe, op3_mix_sources, op4_chat_format, op6_token_rollup, op9_media_columns)
+    found = (op1_simhash_dedup, op2_byte_bpe, op3_mix_sources, op4_chat_format, op6_token_rollup, op8_language_id, op9_media_columns)
     return {f.__name__: f for f in found}
 
 
