@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import bpe, chat, common, langid, media, mixture, rollup, simhash
+from chronofold.llm import bpe, chat, common, langid, media, mixture, rollup, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,6 +39,10 @@ def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.format_turns(turns.union(hostile)))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
+
+
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches over all documents, one of them delivered twice.
 
@@ -82,7 +86,7 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_dedup, op2_byte_bpe, op3_mix_sources, op4_chat_format, op6_token_rollup, op8_language_id, op9_media_columns)
+    found = (op1_simhash_dedup, op2_byte_bpe, op3_mix_sources, op4_chat_format, op5_substring_dedup, op6_token_rollup, op8_language_id, op9_media_columns)
     return {f.__name__: f for f in found}
 
 
