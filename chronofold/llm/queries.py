@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import bpe, chat, common, langid, media, mixture, rollup, simhash, substring
+from chronofold.llm import bpe, chat, common, hamming, langid, media, mixture, rollup, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,22 @@ FROM t GROUP BY source, lang, tokenizer
 """
 
 
+def op7_hamming_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(vectors, F.col("id") % 20 == 0).withColumnRenamed("id", "vec_id")
+
+
+OP7_SQL = """
+WITH p AS (
+  SELECT q.vec_id AS query_id, e.vec_id,
+         list_sum(list_transform(list_zip(q.embedding, e.embedding), lambda x: CAST((x[1] > 0) <> (x[2] > 0) AS INTEGER))) AS distance
+  FROM embeddings q JOIN embeddings e ON q.vec_id <> e.vec_id
+  WHERE q.vec_id % 20 = 0),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, CAST(distance AS INTEGER) AS distance FROM r WHERE rank <= 10
+"""
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
 
@@ -86,9 +102,9 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_dedup, op2_byte_bpe, op3_mix_sources, op4_chat_format, op5_substring_dedup, op6_token_rollup, op8_language_id, op9_media_columns)
+    found = (op1_simhash_dedup, op2_byte_bpe, op3_mix_sources, op4_chat_format, op5_substring_dedup, op6_token_rollup, op7_hamming_topk, op8_language_id, op9_media_columns)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_token_rollup": OP6_SQL}
+    return {"op6_token_rollup": OP6_SQL, "op7_hamming_topk": OP7_SQL}
