@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from chronofold.llm import bpe, chat, common, hamming, langid, media, mixture, rollup, simhash, substring
+from chronofold.llm import bpe, chat, common, hamming, langid, media, mixture, pii, rollup, simhash, substring
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,8 +101,12 @@ def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media.text_media(_table(spark, sf_dir, "documents"))
 
 
+def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_simhash_dedup, op2_byte_bpe, op3_mix_sources, op4_chat_format, op5_substring_dedup, op6_token_rollup, op7_hamming_topk, op8_language_id, op9_media_columns)
+    found = (op1_simhash_dedup, op2_byte_bpe, op3_mix_sources, op4_chat_format, op5_substring_dedup, op6_token_rollup, op7_hamming_topk, op8_language_id, op9_media_columns, op10_pii_spans)
     return {f.__name__: f for f in found}
 
 
