@@ -9,6 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from chronofold.llm import bpe, chat, common, hamming, langid, media, mixture, pii, rollup, simhash, substring
 
 
@@ -107,7 +108,7 @@ def op10_pii_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = (op1_simhash_dedup, op2_byte_bpe, op3_mix_sources, op4_chat_format, op5_substring_dedup, op6_token_rollup, op7_hamming_topk, op8_language_id, op9_media_columns, op10_pii_spans)
-    return {f.__name__: f for f in found}
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
