@@ -149,7 +149,11 @@ class Coordinator:
 
 
 def subscribe(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
-    """A log of Parquet files as a stream; filter it with sources.log.subscription."""
+    """A log of Parquet files as a stream; filter it with sources.log.subscription.
+
+    Files are taken in the order in which they appeared, so the log's one committer must add them in
+    global order, as positions only grow.
+    """
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch).parquet(path)
 
 
