@@ -31,6 +31,8 @@ DIM, SAMPLE, CENTROIDS = 4096, 256, 3
 STRIP = 1 << 20
 #: What a text may lie farther (1 - cosine) from its centroid than the farthest training text of its length.
 MARGIN = 0.05
+#: Texts no farther than this are never rejected: few training texts are very long, so their reach alone would be too tight.
+LEAST_REACH = 0.5
 #: Longest excerpt of a training text, in characters.
 EXCERPT = 1024
 UNKNOWN = "und"
@@ -126,7 +128,7 @@ def train(tf: np.ndarray, langs: list[str], excerpts: list[str], k: int = CENTRO
         for x, d in zip(rows, distance, strict=True):
             far[_length_class(x)] = max(far[_length_class(x)], d)
         n *= 2
-    reach = np.maximum.accumulate(far[::-1])[::-1] + MARGIN  # a shorter text may always lie as far as a longer one
+    reach = np.maximum(LEAST_REACH, np.maximum.accumulate(far[::-1])[::-1] + MARGIN)  # a shorter text may always lie as far as a longer one
     reach[:4] = 1.0  # fewer than eight n-grams tell nothing
     return Model(idf, c, tuple(names), np.where(far.cumsum() == 0, 1.0, reach))
 
