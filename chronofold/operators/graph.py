@@ -102,3 +102,14 @@ def is_list_projection(name: Column) -> Column:
 
 def is_by_id(query: Column) -> Column:
     return query.rlike("(?i)(?:byid|get[A-Z]?\\w*byid)|ById$")
+
+
+def export(manifests: DataFrame, pretty: bool = True) -> DataFrame:
+    """Manifests as JSON text."""
+    return manifests.select(F.to_json("manifest", {"pretty": "true"} if pretty else {}).alias("json"))
+
+
+def versions(named: DataFrame) -> DataFrame:
+    """Different versions of each event, sorted as text (so v10 comes before v2), and the latest by number."""
+    number = F.coalesce(F.regexp_extract("version", "([0-9]+)", 1).try_cast("int"), F.lit(0))
+    return named.groupBy("name").agg(F.array_sort(F.collect_set("version")).alias("versions"), F.max_by("version", number).alias("latest"))

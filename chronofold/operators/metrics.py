@@ -59,3 +59,14 @@ def exposition(samples: DataFrame) -> DataFrame:
     entries = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(e["value"], r'([\\"])', r"\\$1"), F.lit('"')))
     labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))).otherwise("")
     return samples.select(F.concat(F.col("name"), labels, F.lit(" "), F.format_string("%s", "value")).alias("line"))
+
+
+def of_log(log: DataFrame, health: DataFrame) -> DataFrame:
+    """Metrics of a log and its projections as samples (name, labels, value): events by type, lag, position, failures, status."""
+    labels = F.create_map(F.lit("event_type"), F.col("event_type"))
+    events = log.groupBy("event_type").agg(F.count("*").cast("double").alias("value")).select(F.lit("events_appended_total").alias("name"), labels.alias("labels"), "value")
+    of = F.create_map(F.lit("projection"), F.col("projection_name"))
+    up = F.when(F.col("status") == "unhealthy", 0.0).otherwise(1.0)
+    rows = {"projection_lag": F.col("lag"), "projection_position": F.col("position"), "projection_failed_events": F.col("failed"), "projection_up": up}
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in rows.items())))
+    return events.unionByName(health.select(of.alias("labels"), each.alias("x")).select(F.col("x.name").alias("name"), "labels", F.col("x.value").alias("value")))

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import text, values
-from chronofold.operators import append, checkpoints, dlq, fold, graph, health, lineage, metrics, readmodel, upcast
+from chronofold.operators import append, checkpoints, dlq, envelope, fold, graph, health, lineage, metrics, readmodel, rules, upcast
 from chronofold.plans import projections
 from chronofold.sources import log as reading
 
@@ -645,3 +645,88 @@ def value_functions(spark, d):
     e = _log(spark, d).where("aggregate_nonce <= 50")
     notice = F.concat(F.col("tenant_id"), F.lit(":"), F.col("global_nonce").cast("string"))
     return e.select("event_id", values.backoff_ms(F.col("aggregate_nonce")).alias("delay_ms"), values.saturating_minus(F.col("global_nonce"), 500).alias("lag"), notice.alias("notice"), text.notice(notice)["tenant_id"].alias("notice_tenant"))
+
+
+@query("""SELECT event_id, event_type <> 'purchase' AS is_generic, CASE WHEN event_type = 'purchase' THEN CAST(json_extract(payload, '$.k') AS INTEGER) END AS k,
+  CASE WHEN event_type <> 'purchase' THEN json_extract_string(payload, '$.k') END AS generic_k FROM log""")
+def decoded_events(spark, d):
+    """Payloads of a registered type as a struct, of others as a map."""
+    got = envelope.decode(_log(spark, d).select("event_id", "event_type", "payload"), {"purchase": "k int"})
+    return got.select("event_id", "is_generic", F.col("as_purchase.k").alias("k"), F.col("fields")["k"].alias("generic_k"))
+
+
+@query("""SELECT event_id, event_type AS type, CAST(event_version AS VARCHAR) AS version, aggregate_id, json_extract_string(payload, '$.k') AS k FROM log""")
+def serialized_events(spark, d):
+    """Envelopes to JSON and back."""
+    j = envelope.to_json(_log(spark, d))
+    return j.select("event_id", *(F.get_json_object("json", p).alias(n) for n, p in (("type", "$.type"), ("version", "$.version"), ("aggregate_id", "$.metadata.aggregate_id"), ("k", "$.data.k"))))
+
+
+@query("""SELECT event_id, coalesce(CASE WHEN user_id % 3 = 0 THEN 'own' END, 'ctx-' || tenant_id) AS correlation_id, CASE WHEN user_id % 2 = 0 THEN 'mine' ELSE 'theirs' END AS trace, 'b' AS region FROM log""")
+def context_merge(spark, d):
+    """Context over events: what they have themselves stays."""
+    e = _log(spark, d).withColumn("correlation_id", F.when(F.col("user_id") % 3 == 0, "own").otherwise(""))
+    e = e.withColumn("headers", F.when(F.col("user_id") % 2 == 0, F.create_map(F.lit("trace"), F.lit("mine"))))
+    common = F.create_map(F.lit("trace"), F.lit("theirs"), F.lit("region"), F.lit("b"))
+    got = envelope.with_context(e, correlation_id=F.concat(F.lit("ctx-"), F.col("tenant_id")), headers=common)
+    return got.select("event_id", "correlation_id", F.col("headers")["trace"].alias("trace"), F.col("headers")["region"].alias("region"))
+
+
+@query(HEALTH + """ SELECT 'events_appended_total' AS name, event_type AS label, CAST(count(*) AS DOUBLE) AS value FROM log GROUP BY event_type
+UNION ALL SELECT 'projection_lag', projection_name, CAST(lag AS DOUBLE) FROM hs UNION ALL SELECT 'projection_position', projection_name, CAST(position AS DOUBLE) FROM hs
+UNION ALL SELECT 'projection_failed_events', projection_name, CAST(failed AS DOUBLE) FROM hs UNION ALL SELECT 'projection_up', projection_name, CASE WHEN status = 'unhealthy' THEN 0.0 ELSE 1.0 END FROM hs""")
+def log_metrics(spark, d):
+    got = metrics.of_log(reading.without_nonce(spark, d), _health(spark, d))
+    return got.select("name", F.element_at(F.map_values("labels"), 1).alias("label"), "value")
+
+
+@query("""SELECT CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS revenue, count(*) AS orders, sum(CAST(round(o_totalprice * 100) AS BIGINT)) / count(*) AS average FROM orders WHERE o_orderstatus <> 'F'""", log=False)
+def average_order_value(spark, d):
+    price = F.round(F.col("o_totalprice") * 100).cast("bigint")
+    got = _table(spark, d, "orders").where("o_orderstatus <> 'F'").agg(F.sum(price).alias("revenue"), F.count("*").alias("orders"))
+    return got.withColumn("average", F.col("revenue") / F.col("orders"))
+
+
+@query("""SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')""", log=False)
+def unprimed_sources(spark, d):
+    """Sources that were never polled: an anti-join."""
+    return _table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(_table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")), "id", "left_anti")
+
+
+@query("""SELECT tenant_id, aggregate_id, aggregate_nonce, event_type, sum(CASE event_type WHEN 'purchase' THEN amount WHEN 'error' THEN -amount ELSE 0 END) OVER (PARTITION BY tenant_id, aggregate_id ORDER BY aggregate_nonce ROWS UNBOUNDED PRECEDING) AS state FROM log WHERE user_id < 10""")
+def step_by_step_replay(spark, d):
+    """State after each event of a few streams, by the general fold over prefixes."""
+    step = fold.dispatch({"purchase": lambda s, e: s + e["amount"], "error": lambda s, e: s - e["amount"]})
+    got = fold.history(_log(spark, d).where("user_id < 10"), projections.STREAM, "aggregate_nonce", ["event_type", "amount"], F.lit(0).cast("bigint"), step)
+    return got.select(*projections.STREAM, "aggregate_nonce", "event_type", "state")
+
+
+@query("""SELECT tenant_id, aggregate_id, global_nonce, event_type, state FROM (SELECT *, sum(CASE event_type WHEN 'purchase' THEN amount WHEN 'error' THEN -amount ELSE 0 END) OVER (PARTITION BY tenant_id, aggregate_id ORDER BY global_nonce ROWS UNBOUNDED PRECEDING) AS state FROM log) WHERE NOT state >= -20000""")
+def invariant_violations(spark, d):
+    """Events after which a stream's running balance is below a limit."""
+    change = F.when(F.col("event_type") == "purchase", F.col("amount")).when(F.col("event_type") == "error", -F.col("amount")).otherwise(F.lit(0).cast("bigint"))
+    return fold.violations(reading.without_nonce(spark, d), F.sum(change).over(fold.by_stream(projections.STREAM)), F.col("state") >= -20000, projections.STREAM)
+
+
+def _tree(spark, d):
+    """A source tree made of nations: each a context with an aggregate that imports from layers by region."""
+    n = _table(spark, d, "nation")
+    path = F.concat(F.lit("contexts/"), F.lower("n_name"), F.lit("/domain/"), F.col("n_name"), F.lit("Aggregate.ts"))
+    target = F.element_at(F.array(*map(F.lit, ("../infrastructure/db", "./values", "../application/service", "./more", "../events/list"))), F.col("n_regionkey") + 1)
+    return n.select(path.alias("path"), F.concat(F.lit("import { X } from '"), target, F.lit("';\nexport class N"), F.col("n_nationkey").cast("string"), F.lit("Aggregate {}")).alias("text"))
+
+
+@query("""SELECT 'layer-dependency' AS rule, 'error' AS severity, 'contexts/' || lower(n_name) || '/domain/' || n_name || 'Aggregate.ts' AS path,
+  'domain imports ' || CASE n_regionkey WHEN 0 THEN 'infrastructure ../infrastructure/db' ELSE 'application ../application/service' END AS message FROM nation WHERE n_regionkey IN (0, 2)""", log=False)
+def layer_violations(spark, d):
+    return rules.check(_tree(spark, d))
+
+
+@query("""SELECT 'aggregate' AS kind, 'N' || CAST(n_nationkey AS VARCHAR) || 'Aggregate' AS name, lower(n_name) AS context FROM nation""", log=False)
+def scanned_components(spark, d):
+    return rules.components(_tree(spark, d)).select("kind", "name", "context")
+
+
+@query("""SELECT count(*) FILTER (n_regionkey IN (0, 2)) AS errors, 0 AS warnings, count(*) FILTER (n_regionkey IN (0, 2)) = 0 AS is_valid FROM nation""", log=False)
+def architecture_report(spark, d):
+    return rules.report(rules.check(_tree(spark, d)))

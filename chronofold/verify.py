@@ -56,3 +56,13 @@ def purity(source: str, forbidden: tuple[str, ...] = ("requests", "socket", "sub
         elif isinstance(node, ast.ImportFrom):
             names.append(node.module or "")
     return sorted({n for n in names if n.split(".")[0] in forbidden})
+
+
+def scenario(given: DataFrame, when: Callable[[DataFrame], DataFrame], then: DataFrame, keys: list[str]) -> DataFrame:
+    """Given events, when a projection or command handler runs, then these rows: the differences, none if it passes."""
+    return differences(when(given).select(then.columns), then, keys)
+
+
+def replay_safe(run: Callable[[bool], int]) -> bool:
+    """Whether a process manager does nothing while catching up. run(live) returns the number of its effects."""
+    return run(False) == 0
