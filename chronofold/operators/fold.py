@@ -68,14 +68,24 @@ def running_sum(log: DataFrame, keys: list[str], signed: Column, order: str = "g
     return log.withColumn(name, F.sum(signed).over(by_stream(keys, order)))
 
 
-def clamped_count(log: DataFrame, keys: list[str], change: Column, order: str = "global_nonce", name: str = "clamped") -> DataFrame:
+def clamped_count(log: DataFrame, keys: list[str], change: Column, order: str = "global_nonce", name: str = "clamped", stretch: int = 1_000_000) -> DataFrame:
     """Running counter that never goes below 0: n <- max(0, n + change).
 
-    By the identity n_t = S_t - min(0, S_1, ..., S_t) over running sums S.
+    By the identity n_t = S_t - min(0, S_1, ..., S_t) over running sums S. It is applied twice, so
+    that a key with most of the rows is no single task: within stretches of the order, and over one
+    row a stretch (its sum and its least running sum), which gives the counter that each starts with.
     """
-    w = by_stream(keys, order)
-    got = log.withColumn("__sum", F.sum(change).over(w))
-    return got.withColumn(name, F.col("__sum") - F.least(F.lit(0).cast("bigint"), F.min("__sum").over(w))).drop("__sum")
+    part = [*keys, "__stretch"]
+    w = Window.partitionBy(*part).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = F.lit(0).cast("bigint")
+    rows = log.withColumn("__stretch", F.floor(F.col(order) / stretch)).withColumn("__sum", F.sum(change).over(w)).withColumn("__low", F.least(zero, F.min("__sum").over(w)))
+    each = rows.groupBy(*part).agg(F.max_by("__sum", order).alias("total"), F.min("__low").alias("low"))
+    earlier = Window.partitionBy(*keys).orderBy("__stretch").rowsBetween(Window.unboundedPreceding, -1)
+    each = each.withColumn("before", F.coalesce(F.sum("total").over(earlier), zero))
+    start = F.col("before") - F.least(zero, F.coalesce(F.min(F.col("before") + F.col("low")).over(earlier), zero))
+    starts = each.select(*part, start.alias("__start"))
+    got = rows.join(starts, part)
+    return got.withColumn(name, F.col("__sum") + F.greatest("__start", -F.col("__low"))).drop("__stretch", "__sum", "__low", "__start")
 
 
 def latest(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
