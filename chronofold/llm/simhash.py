@@ -21,7 +21,7 @@ from itertools import repeat
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -65,30 +65,24 @@ def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") ->
     return docs.mapInArrow(each, schema)
 
 
-def _flip(i: Column) -> Column:
-    """The mask of code position i: none for 0, else bit i - 1."""
-    return F.when(i == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftleft", F.lit(1).cast("long"), (i - 1).cast("int")))
+def anchored(fps: DataFrame) -> DataFrame:
+    """(fp, anchor, home) for every anchor within radius 2 of each half; bit 40 tells the halves' anchors apart.
 
-
-def _half_anchors(fp: Column, half: int) -> Column:
-    x = F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit((1 << 31) - 1))
-    syndrome = F.lit(0)
-    for k in range(5):
-        mask = sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1)
-        syndrome = syndrome.bitwiseOR(F.shiftleft((F.bit_count(x.bitwiseAND(F.lit(mask))) % 2).cast("int"), k))
-
-    # i and i ^ syndrome are the positions to flip; 0 stands for none, so (0, syndrome) is the home anchor
-    def anchor(i: Column) -> Column:
-        at = x.bitwiseXOR(_flip(i)).bitwiseXOR(_flip(i.bitwiseXOR(syndrome))).bitwiseOR(F.lit(half << 40))
-        return F.struct(at.alias("anchor"), (i == 0).alias("home"))
-
-    rest = F.filter(F.sequence(F.lit(1), F.lit(31)), lambda i: (syndrome != 0) & (i < i.bitwiseXOR(syndrome)))
-    return F.concat(F.array(anchor(F.lit(0))), F.transform(rest, anchor))
-
-
-def anchors(fp: Column) -> Column:
-    """All anchors within radius 2, as an array of (anchor, home). Bit 40 tells the halves' anchors apart."""
-    return F.concat(_half_anchors(fp, 0), _half_anchors(fp, 1))
+    A half with syndrome s has its home where bit s is flipped (none for 0), and 15 anchors more where
+    bits i and i ^ s are, all i without s's highest bit. Plain arithmetic after the explodes, so that
+    it is compiled.
+    """
+    n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # dealt out anew: what comes in is small by bytes and would be merged into a few tasks
+    got = fps.select("fp").repartition(n, "fp").select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    got = got.withColumn("x", F.expr("shiftrightunsigned(fp, half * 32) & 2147483647"))
+    masks = [sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1) for k in range(5)]
+    got = got.withColumn("s", F.expr(" | ".join(f"shiftleft(cast(bit_count(x & {m}L) % 2 as int), {k})" for k, m in enumerate(masks))))
+    got = got.withColumn("b", F.expr("case when s >= 16 then 4 when s >= 8 then 3 when s >= 4 then 2 when s >= 2 then 1 else 0 end"))
+    got = got.withColumn("t", F.explode(F.expr("sequence(0, if(s = 0, 0, 15))")))
+    got = got.withColumn("i", F.expr("shiftleft(shiftright(t, b), b + 1) | (t & (shiftleft(1, b) - 1))"))
+    flip = "if({0} = 0, 0L, shiftleft(1L, {0} - 1))"
+    return got.select("fp", F.expr(f"(x ^ {flip.format('i')} ^ {flip.format('(i ^ s)')}) | shiftleft(cast(half as bigint), 40)").alias("anchor"), F.expr("i = 0").alias("home"))
 
 
 def _forest(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -116,8 +110,7 @@ def _forest(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect all fingerprints within the threshold. fps: distinct, in column fp."""
-    at = fps.select("fp", F.explode(anchors(F.col("fp"))).alias("x")).select("fp", "x.anchor", "x.home")
-    # a word with syndrome 0 is its own home and gets one anchor, so no anchor repeats for a fingerprint
+    at = anchored(fps)
     live = at.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("h")).where("n > 1 and h").drop("h")
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
