@@ -147,21 +147,23 @@ def _with_counts(docs: DataFrame) -> DataFrame:
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
     """Learns from labelled rows: of each language the `sample` rows of smallest text hash.
 
-    Rows without a language, without a text or without a letter teach nothing. The first pass reads
-    hashes only and finds each language's bound; the second extracts vectors of rows within it. No
-    labelled row at all gives a model that rejects everything.
+    Rows without a language, without a text or without a letter teach nothing; repeated texts count
+    once. The first pass counts each language's texts; the second ranks only rows below a bound on
+    the hash, about 4 * `sample` a language. No labelled row at all gives a model that rejects everything.
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    # max over the distinct smallest: repeated rows don't crowd others out, nor do they add rows
-    smallest = rows.groupBy("lang", "h").agg(F.lit(1).alias("one")).withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample)
-    bounds = smallest.groupBy("lang").agg(F.max("h").alias("bound")).collect()  # one row a language
-    if not bounds:
+    # hashes are uniform, so the smallest share of them holds the sample, four times over; no language is ranked whole
+    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
+    if not sizes:
         return train(np.zeros((0, DIM), np.int32), [], [], k)
     within = F.lit(False)
-    for r in bounds:
-        within = within | ((F.col("lang") == r["lang"]) & (F.col("h") <= r["bound"]))
-    got = _with_counts(rows.where(within).dropDuplicates(["lang", "h"])).where("tf is not null").orderBy("lang", "tf").collect()
+    for r in sizes:
+        bound = -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * sample // max(1, r["n"]))
+        within = within | ((F.col("lang") == r["lang"]) & (F.col("h") <= F.lit(bound).cast("bigint")))
+    near = rows.where(within).dropDuplicates(["lang", "h"])
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample)
+    got = _with_counts(near).where("tf is not null").orderBy("lang", "tf").collect()
     tf = np.array([np.frombuffer(r["tf"], np.int32) for r in got]).reshape(-1, DIM)
     return train(tf, [r["lang"] for r in got], [r["excerpt"] for r in got], k)
 
