@@ -5,8 +5,8 @@ n-grams of 2 and 3, hashed to DIM buckets. A vector has (1 + log tf) * idf of ea
 length 1. Each language has a few centroids, from spherical k-means over its training vectors. A
 text goes to the language of the centroid of largest cosine. It is rejected if it has no letter, or
 lies farther from that centroid than any training text of its length did (by a margin): short texts
-lie far from every centroid, so the reach is learned for each power of two of the number of n-grams,
-from the training texts and from excerpts of them.
+lie far from every centroid, and so do words repeated over and over. So the reach is learned for each
+power of two of the number of different n-grams, from the training texts and from excerpts of them.
 
 Fitting takes at most SAMPLE rows of each language, those of smallest hash, and collects one vector
 of fixed size a row. Prediction runs over whole texts, in strips, so memory stays bounded.
@@ -69,12 +69,12 @@ def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
 
 
 def _length_class(tf: np.ndarray) -> int:
-    return min(63, int(tf.sum()).bit_length())
+    return min(63, int(np.count_nonzero(tf)).bit_length())
 
 
 @dataclass(frozen=True)
 class Model:
-    """centroids: rows of length 1. langs: the language of each. reach: how far texts may lie, by log2 of their n-grams.
+    """centroids: rows of length 1. langs: the language of each. reach: how far texts may lie, by log2 of their different n-grams.
 
     Its size is fixed by the number of languages.
     """
@@ -129,7 +129,7 @@ def train(tf: np.ndarray, langs: list[str], excerpts: list[str], k: int = CENTRO
             far[_length_class(x)] = max(far[_length_class(x)], d)
         n *= 2
     reach = np.maximum(LEAST_REACH, np.maximum.accumulate(far[::-1])[::-1] + MARGIN)  # a shorter text may always lie as far as a longer one
-    reach[:4] = 1.0  # fewer than eight n-grams tell nothing
+    reach[:4] = 1.0  # fewer than eight different n-grams tell nothing
     return Model(idf, c, tuple(names), np.where(far.cumsum() == 0, 1.0, reach))
 
 
