@@ -253,7 +253,8 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
 
     mixed = live.where("not same")
     rep = F.min(F.struct("doc_id", "th", "lo", "hi")).alias("rep")
-    passages = mixed.groupBy("m", "ph").agg(F.count("*").alias("n"), rep)
+    # written, so that the join below has exchanges of its own on both sides and a hot passage can be split
+    passages = common.written(mixed.groupBy("m", "ph").agg(F.count("*").alias("n"), rep), "passages")
     repeated = mixed.join(passages.where("n > 1").select("m", "ph"), ["m", "ph"]).select("doc_id", "th", "lo", "hi")
     spans = live.where("same").select("doc_id", "th", "lo", "hi").union(repeated).withColumn("w", F.lit(None).cast("struct<m:bigint,ph:bigint,alone:boolean,lo:int,hi:int>"))
     wanted = passages.select("rep.doc_id", "rep.th", F.lit(None).cast("int").alias("lo"), F.lit(None).cast("int").alias("hi"), F.struct("m", "ph", (F.col("n") == 1).alias("alone"), "rep.lo", "rep.hi").alias("w"))
