@@ -71,8 +71,10 @@ def copies(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP)
     sizes = docs.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
     plan = rates(targets(sizes, weights, cap), cap)
     dealt = docs.join(plan.withColumnRenamed("source", "s"), F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    dealt = dealt.withColumn("bucket", F.pmod(F.xxhash64("row"), F.ceil(F.col("n") / BUCKET)))
-    item = F.struct((-F.col("size")).alias("by"), F.xxhash64("row").alias("tie"), "row", "doc_id", "size")
+    # by id, so that the result doesn't depend on how the table is split; rows without one by their number
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("row "), F.col("row").cast("string"))))
+    dealt = dealt.withColumn("bucket", F.pmod(key, F.ceil(F.col("n") / BUCKET)))
+    item = F.struct((-F.col("size")).alias("by"), key.alias("tie"), "row", "doc_id", "size")
     groups = dealt.groupBy("source", "bucket").agg(F.sort_array(F.collect_list(item)).alias("items"), *(F.first(c).alias(c) for c in ("source_size", "target", "rate")))
 
     def take(state: Column, x: Column) -> Column:
@@ -93,8 +95,9 @@ def plan(docs: DataFrame, text: str = "text", source: str = "source", doc_id: st
     """One row a document: doc_id, size, source_size, target, taken.
 
     Sizes are words; null texts have 0. A null source is a source of its own, last in order.
-    Repeated rows are documents of their own. The rounding goes by a row number that is fixed by
-    writing ids, sources and sizes once; with the same files in the same splits, reruns agree.
+    Repeated rows are documents of their own. The rounding goes by id and size, so reruns agree however
+    the table is split; only rows without an id are told apart by a row number, fixed by writing
+    ids, sources and sizes once.
     """
     thin = docs.select(F.monotonically_increasing_id().alias("row"), F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), common.word_count(F.col(text)).alias("size"))
     got = copies(common.written(thin, "sizes"))

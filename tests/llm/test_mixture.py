@@ -49,7 +49,7 @@ def test_mix(spark):
     assert got.count() == len(docs) and got.where("taken > 3 * size or taken < 0").isEmpty()
     by = got.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
     assert all(abs(r["taken"] - r["target"]) <= max(300, 0.02 * r["target"]) for r in by)
-    assert rows(got) == rows(mixture.plan(df))
+    assert rows(got) == rows(mixture.plan(df)) == rows(mixture.plan(df.repartition(3)))
     mixed = mixture.mix(df)
     assert mixed.columns == df.columns
     words = F.size(F.filter(F.split("text", " "), lambda x: x != ""))
