@@ -38,11 +38,29 @@ def fold(log: DataFrame, keys: list[str], order: str, fields: list[str], initial
     return events.select(*keys, state.alias("state"), F.element_at("__events", -1)[order].alias("version"))
 
 
-def history(log: DataFrame, keys: list[str], order: str, fields: list[str], initial: Column, step: Step) -> DataFrame:
-    """State after each event of each stream (step-by-step replay), by the general fold over prefixes."""
-    w = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    events = F.collect_list(F.struct(order, *(f for f in fields if f != order))).over(w)
-    return log.withColumn("__events", events).withColumn("state", F.aggregate("__events", initial, step)).drop("__events")
+def history(log: DataFrame, keys: list[str], order: str, fields: list[str], initial: Column, step: Step, block: int = 256) -> DataFrame:
+    """State after each event of each stream (step-by-step replay): one general fold a stream that carries the states.
+
+    Collects a stream's rows, like fold(); running_sum() and by_stream() are for streams that don't fit
+    a row. The states are gathered a block at a time, so that adding one doesn't copy all before it.
+    """
+    rest = [c for c in log.columns if c not in keys]
+    by_order = F.array_sort(F.collect_list(F.struct(*rest)), lambda a, b: F.when(a[order] < b[order], -1).when(a[order] > b[order], 1).otherwise(0))
+    streams = log.groupBy(*keys).agg(by_order.alias("__events"))
+    blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size("__events") - 1) / block).cast("int")), lambda i: F.slice("__events", i * block + 1, F.lit(block)))
+
+    def last(a: Column) -> Column:
+        return F.element_at(a, -1)
+
+    def replay(done: Column, events: Column) -> Column:
+        states = F.aggregate(events, F.array(last(last(done))), lambda out, e: F.concat(out, F.array(step(last(out), e))))
+        return F.concat(done, F.array(states))
+
+    # each block begins with the state before it
+    states = F.aggregate(blocks, F.array(F.array(initial)), replay)
+    states = F.flatten(F.transform(states, lambda b: F.slice(b, F.lit(2), F.size(b))))
+    rows = streams.select(*keys, F.explode(F.arrays_zip("__events", states.alias("__states"))).alias("__x"))
+    return rows.select(*keys, "__x.__events.*", F.col("__x.__states").alias("state")).select(*log.columns, "state")
 
 
 def by_stream(keys: list[str], order: str = "global_nonce") -> WindowSpec:

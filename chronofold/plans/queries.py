@@ -701,6 +701,14 @@ def step_by_step_replay(spark, d):
     return got.select(*projections.STREAM, "aggregate_nonce", "event_type", "state")
 
 
+@query("""SELECT tenant_id, aggregate_id, aggregate_nonce, event_type, CAST(sum(CASE event_type WHEN 'purchase' THEN amount WHEN 'error' THEN -amount ELSE 0 END) OVER (PARTITION BY tenant_id, aggregate_id ORDER BY aggregate_nonce ROWS UNBOUNDED PRECEDING) AS BIGINT) AS state FROM log""")
+def replay_all_streams(spark, d):
+    """State after each event of every stream, as a running sum."""
+    change = F.when(F.col("event_type") == "purchase", F.col("amount")).when(F.col("event_type") == "error", -F.col("amount")).otherwise(F.lit(0).cast("bigint"))
+    got = fold.running_sum(_log(spark, d), projections.STREAM, change, "aggregate_nonce", "state")
+    return got.select(*projections.STREAM, "aggregate_nonce", "event_type", "state")
+
+
 @query("""SELECT tenant_id, aggregate_id, global_nonce, event_type, state FROM (SELECT *, sum(CASE event_type WHEN 'purchase' THEN amount WHEN 'error' THEN -amount ELSE 0 END) OVER (PARTITION BY tenant_id, aggregate_id ORDER BY global_nonce ROWS UNBOUNDED PRECEDING) AS state FROM log) WHERE NOT state >= -20000""")
 def invariant_violations(spark, d):
     """Events after which a stream's running balance is below a limit."""
