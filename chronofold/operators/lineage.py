@@ -12,16 +12,36 @@ def parents(log: DataFrame) -> DataFrame:
     return log.join(p, (F.col("causation_id") == F.col("parent_id")) & (F.col("tenant_id") == F.col("parent_tenant"))).drop("parent_tenant")
 
 
-def descendants(spark, edges: DataFrame, roots: DataFrame, depth: int = 100) -> DataFrame:
-    """All that came of the roots (id), with the number of steps; edges are (parent, child)."""
-    edges.createOrReplaceTempView("__edges")
-    roots.createOrReplaceTempView("__roots")
-    return spark.sql(
-        f"""WITH RECURSIVE d(root, id, steps) AS (
-              SELECT id, id, 0 FROM __roots
-              UNION ALL SELECT d.root, e.child, d.steps + 1 FROM d JOIN __edges e ON e.parent = d.id WHERE d.steps < {int(depth)})
-            SELECT root, id, steps FROM d WHERE steps > 0"""
-    )
+def descendants(spark, edges: DataFrame, roots: DataFrame, depth: int | None = None, stride: int = 8) -> DataFrame:
+    """All that came of the roots (id), with the fewest steps to it; edges are (parent, child).
+
+    Goes on until a round finds nothing new, or for `depth` steps if that is asked for. A round goes
+    `stride` steps from what the last one found farthest, over pairs up to that far apart, and is
+    checkpointed. Where each has one cause, these pairs are at most `stride` for each edge.
+    """
+
+    def fixed(df: DataFrame) -> DataFrame:
+        return df.checkpoint() if spark.sparkContext.getCheckpointDir() else df.cache()
+
+    def further(pairs: DataFrame, more: DataFrame, start: str) -> DataFrame:
+        """The fewest steps by one of the pairs (start, id, steps) and one of more (parent, child, far)."""
+        both = pairs.join(more, F.col("id") == F.col("parent")).select(start, F.col("child").alias("id"), (F.col("steps") + F.col("far")).alias("steps"))
+        return both.groupBy(start, "id").agg(F.min("steps").alias("steps"))
+
+    near, reach = fixed(edges.select("parent", "child", F.lit(1).alias("far")).distinct()), 1
+    while reach < stride and (depth is None or reach < depth):
+        start = near.select(F.col("parent").alias("from"), F.col("child").alias("id"), F.col("far").alias("steps"))
+        two = start.union(further(start, near, "from")).groupBy("from", "id").agg(F.min("steps").alias("far"))
+        near, reach = fixed(two.select(F.col("from").alias("parent"), F.col("id").alias("child"), "far")), 2 * reach
+    new = fixed(roots.select(F.col("id").alias("root"), "id", F.lit(0).alias("steps")).distinct())
+    seen, done = new, 0
+    while depth is None or done < depth:
+        step = further(new.where(F.col("steps") == done), near, "root")
+        new = fixed(step.join(seen.select("root", "id"), ["root", "id"], "left_anti"))
+        if new.isEmpty():
+            break
+        seen, done = seen.union(new), done + reach
+    return seen.where("steps > 0" if depth is None else F.col("steps").between(1, depth))
 
 
 def child_context(log: DataFrame) -> DataFrame:

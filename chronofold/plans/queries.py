@@ -555,6 +555,20 @@ def causation_descendants(spark, d):
 SQL["causation_descendants"] = SQL["causation_descendants"].replace("WITH log", "WITH RECURSIVE log", 1)
 
 
+@query(
+    CAUSED
+    + """, d AS (SELECT event_id AS root, event_id AS id, 0 AS steps FROM c WHERE causation_id IS NULL UNION ALL SELECT d.root, c.event_id, d.steps + 1 FROM d JOIN c ON c.causation_id = d.id)
+SELECT root, id, steps FROM d WHERE steps > 0"""
+)
+def causation_chains(spark, d):
+    """All that came of every event without a cause, to the end of its chain."""
+    e = _caused(spark, d).select(F.col("causation_id").alias("parent"), F.col("event_id").alias("child"))
+    return lineage.descendants(spark, e.where("parent is not null"), e.where("parent is null").select(F.col("child").alias("id")))
+
+
+SQL["causation_chains"] = SQL["causation_chains"].replace("WITH log", "WITH RECURSIVE log", 1)
+
+
 @query("""SELECT 'corr-' || CAST(user_id % 50 AS VARCHAR) AS correlation_id, count(*) AS n_events, count(DISTINCT aggregate_id) AS n_streams, min(global_nonce) AS first, max(global_nonce) AS last, max(timestamp_unix_ms) - min(timestamp_unix_ms) AS took_ms FROM log GROUP BY 1""")
 def correlations(spark, d):
     e = reading.without_nonce(spark, d)

@@ -7,7 +7,7 @@ from itertools import accumulate
 from conftest import rows
 from pyspark.sql import functions as F
 
-from chronofold.operators import fold
+from chronofold.operators import fold, lineage
 from chronofold.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -29,3 +29,19 @@ def test_replay_has_every_event(spark):
     assert got.count() == spark.read.parquet(f"{SF}/events.parquet").count()
     part = got.where("cast(substring_index(aggregate_id, '-', -1) as bigint) < 10")
     assert rows(part) == rows(queries.step_by_step_replay(spark, SF))
+
+
+def test_descendants_to_the_end(spark):
+    edges = spark.createDataFrame([(f"e{i}", f"e{i + 1}") for i in range(110)] + [("x", "y"), ("y", "x")], "parent string, child string")
+    got = lineage.descendants(spark, edges, spark.createDataFrame([("e0",), ("x",)], "id string"))
+    assert rows(got) == sorted([("e0", f"e{i}", i) for i in range(1, 111)] + [("x", "y", 1)], key=str)
+
+
+def test_chains_hold_every_caused_event(spark):
+    got = queries.causation_chains(spark, SF)
+    own = got.select(F.col("root").alias("id")).union(got.select("id")).distinct()
+    alone = spark.read.parquet(f"{SF}/events.parquet").select(F.col("event_id").cast("string").alias("id")).join(own, "id", "left_anti")
+    caused = queries._caused(spark, SF)
+    assert got.count() == got.select("id").distinct().count() == caused.where("causation_id is not null").count()
+    assert alone.join(caused.where("causation_id is not null"), F.col("id") == F.col("event_id")).isEmpty()
+    assert got.agg(F.max("steps")).first()[0] > 5
