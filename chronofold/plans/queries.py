@@ -654,13 +654,22 @@ def name_functions(spark, d):
     return _table(spark, d, "nation").select(n.alias("name"), text.pascal_to_camel(F.lower(n)).alias("lowered"), F.concat(F.lit("on_"), F.lower(n)).alias("handler"), text.sanitized(n).alias("clean"), text.contains_any(n, ["an"]).alias("classified"))
 
 
-@query("""SELECT event_id, CAST(least(30000.0, 100.0 * 2.0 ** (aggregate_nonce - 1)) AS BIGINT) AS delay_ms, greatest(0, global_nonce - 500) AS lag, tenant_id || ':' || CAST(global_nonce AS VARCHAR) AS notice, tenant_id AS notice_tenant FROM log WHERE aggregate_nonce <= 50""")
-def value_functions(spark, d):
-    e = _log(spark, d).where("aggregate_nonce <= 50")
+def _values(e):
     notice = F.concat(F.col("tenant_id"), F.lit(":"), F.col("global_nonce").cast("string"))
     return e.select("event_id", values.backoff_ms(F.col("aggregate_nonce")).alias("delay_ms"), values.saturating_minus(F.col("global_nonce"), 500).alias("lag"), notice.alias("notice"), text.notice(notice)["tenant_id"].alias("notice_tenant"))
 
 
+@query("""SELECT event_id, CAST(least(30000.0, 100.0 * 2.0 ** (aggregate_nonce - 1)) AS BIGINT) AS delay_ms, greatest(0, global_nonce - 500) AS lag, tenant_id || ':' || CAST(global_nonce AS VARCHAR) AS notice, tenant_id AS notice_tenant FROM log WHERE aggregate_nonce <= 50""")
+def value_functions(spark, d):
+    return _values(_log(spark, d).where("aggregate_nonce <= 50"))
+
+
+@query("""SELECT event_id, CAST(least(30000.0, 100.0 * 2.0 ** least(aggregate_nonce - 1, 60)) AS BIGINT) AS delay_ms, greatest(0, global_nonce - 500) AS lag, tenant_id || ':' || CAST(global_nonce AS VARCHAR) AS notice, tenant_id AS notice_tenant FROM log""")
+def value_functions_all(spark, d):
+    """The value functions over every event."""
+    return _values(_log(spark, d))
+
+
 @query("""SELECT event_id, event_type <> 'purchase' AS is_generic, CASE WHEN event_type = 'purchase' THEN CAST(json_extract(payload, '$.k') AS INTEGER) END AS k,
   CASE WHEN event_type <> 'purchase' THEN json_extract_string(payload, '$.k') END AS generic_k FROM log""")
 def decoded_events(spark, d):

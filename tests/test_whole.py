@@ -7,6 +7,7 @@ from itertools import accumulate
 from conftest import rows
 from pyspark.sql import functions as F
 
+from chronofold.functions import values
 from chronofold.operators import fold, lineage
 from chronofold.plans import queries
 
@@ -45,3 +46,10 @@ def test_chains_hold_every_caused_event(spark):
     assert got.count() == got.select("id").distinct().count() == caused.where("causation_id is not null").count()
     assert alone.join(caused.where("causation_id is not null"), F.col("id") == F.col("event_id")).isEmpty()
     assert got.agg(F.max("steps")).first()[0] > 5
+
+
+def test_value_functions_on_every_event(spark):
+    assert queries.value_functions_all(spark, SF).count() == spark.read.parquet(f"{SF}/events.parquet").count()
+    late = spark.createDataFrame([(1,), (9,), (10,), (61,), (5000,), (10**15,)], "n bigint").select(values.backoff_ms(F.col("n")).alias("ms"), values.backoff_ms(F.col("n"), multiplier=1.01).alias("slow"))
+    assert [r["ms"] for r in late.collect()] == [100, 25600, 30000, 30000, 30000, 30000]
+    assert [r["slow"] for r in late.collect()] == [100, 108, 109, 181, 30000, 30000]
