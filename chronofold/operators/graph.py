@@ -53,23 +53,27 @@ def unhandled(e: DataFrame) -> DataFrame:
     return e.where("kind = 'emits'").select(F.col("dst").alias("event")).distinct().join(used, "event", "left_anti")
 
 
-def cycles(spark: SparkSession, links: DataFrame, depth: int = 12) -> DataFrame:
-    """Simple cycles of up to `depth` nodes in (src, dst), each once, written from its smallest node."""
+def cycles(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """Simple cycles in (src, dst), each once, written from its smallest node.
+
+    No path is longer than there are nodes; Spark raises an error at its own limit of rows.
+    """
     links.select("src", "dst").distinct().createOrReplaceTempView("__links")
+    nodes = links.select("src").distinct().count()
     return spark.sql(
-        f"""WITH RECURSIVE walk(start, at, path) AS (
+        f"""WITH RECURSIVE walk(start, at, path) MAX RECURSION LEVEL {nodes + 1} AS (
               SELECT src, dst, array(src) FROM __links WHERE dst >= src
               UNION ALL SELECT w.start, l.dst, array_append(w.path, l.src) FROM walk w JOIN __links l ON l.src = w.at
-                        WHERE w.at <> w.start AND l.dst >= w.start AND NOT array_contains(w.path, l.src) AND size(w.path) < {int(depth)})
+                        WHERE w.at <> w.start AND l.dst >= w.start AND NOT array_contains(w.path, l.src))
             SELECT array_join(path, ' -> ') AS cycle, size(path) AS n FROM walk WHERE at = start"""
     )
 
 
-def reachable(spark: SparkSession, links: DataFrame, depth: int = 100) -> DataFrame:
-    """Pairs (src, dst) with a way from one to the other. Each round joins only what is new."""
+def reachable(spark: SparkSession, links: DataFrame) -> DataFrame:
+    """Pairs (src, dst) with a way from one to the other. Each round joins only what is new, until nothing is."""
     now = links.select("src", "dst").distinct()
     new = now
-    for _ in range(depth):
+    while True:
         step = new.join(links.select(F.col("src").alias("dst"), F.col("dst").alias("to")), "dst").select("src", F.col("to").alias("dst")).distinct()
         new = step.join(now, ["src", "dst"], "left_anti").checkpoint() if spark.sparkContext.getCheckpointDir() else step.join(now, ["src", "dst"], "left_anti").cache()
         if new.isEmpty():

@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from chronofold.functions import values
-from chronofold.operators import fold, lineage
+from chronofold.operators import fold, graph, lineage
 from chronofold.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -53,3 +53,8 @@ def test_value_functions_on_every_event(spark):
     late = spark.createDataFrame([(1,), (9,), (10,), (61,), (5000,), (10**15,)], "n bigint").select(values.backoff_ms(F.col("n")).alias("ms"), values.backoff_ms(F.col("n"), multiplier=1.01).alias("slow"))
     assert [r["ms"] for r in late.collect()] == [100, 25600, 30000, 30000, 30000, 30000]
     assert [r["slow"] for r in late.collect()] == [100, 108, 109, 181, 30000, 30000]
+
+
+def test_cycles_of_many_nodes(spark):
+    ring = spark.createDataFrame([(i, (i + 1) % 14) for i in range(14)], "src int, dst int")
+    assert rows(graph.cycles(spark, ring)) == [(" -> ".join(map(str, range(14))), 14)]
