@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronofold.functions import text, values
@@ -76,10 +76,20 @@ def listing(failed: DataFrame, projection: str | None = None, status: str | None
 
 
 def counts(failed: DataFrame) -> DataFrame:
-    """Dead letters by projection: pending ones and all, with the latest messages (five)."""
+    """Dead letters by projection: pending ones and all, and five messages, the first in
+    alphabetical order of all letters; latest_messages() has the newest.
+    """
     return current(failed).groupBy("projection_name").agg(F.count_if(F.col("status") == PENDING).alias("pending"), F.count("*").alias("total"), F.slice(F.array_sort(F.collect_set("error")), 1, 5).alias("messages"))
 
 
+def latest_messages(failed: DataFrame, most: int = 5) -> DataFrame:
+    """The messages of the newest pending letters by projection, newest first; only these are collected."""
+    newest = Window.partitionBy("projection_name").orderBy(F.col("last_failed_at").desc(), "id")
+    top = current(failed).where(F.col("status") == PENDING).withColumn("__n", F.row_number().over(newest)).where(F.col("__n") <= most)
+    got = top.groupBy("projection_name").agg(F.array_sort(F.collect_list(F.struct("__n", "error"))).alias("__m"))
+    return got.select("projection_name", F.col("__m.error").alias("messages"))
+
+
 def purge(failed: DataFrame, before: Column) -> DataFrame:
     """The table without settled letters last failed before a time."""
     gone = current(failed).where(F.col("status").isin(RESOLVED, IGNORED) & (F.col("last_failed_at") < before)).select("id")

@@ -8,7 +8,7 @@ from conftest import rows
 from pyspark.sql import functions as F
 
 from chronofold.functions import values
-from chronofold.operators import fold, graph, lineage
+from chronofold.operators import dlq, fold, graph, lineage
 from chronofold.plans import queries
 
 SF = "/root/testdata/sf0.001"
@@ -58,3 +58,11 @@ def test_value_functions_on_every_event(spark):
 def test_cycles_of_many_nodes(spark):
     ring = spark.createDataFrame([(i, (i + 1) % 14) for i in range(14)], "src int, dst int")
     assert rows(graph.cycles(spark, ring)) == [(" -> ".join(map(str, range(14))), 14)]
+
+
+def test_latest_messages_are_of_the_newest_pending(spark):
+    kinds = "id string, projection_name string, error string, status string, seq bigint, at bigint"
+    letters = [(f"i{i}", "p", f"m{i}", "pending" if i % 2 else "resolved", 1, i) for i in range(20)]
+    df = spark.createDataFrame([*letters, ("j", "q", "only", "pending", 1, 3)], kinds).withColumn("last_failed_at", F.timestamp_seconds("at"))
+    got = {r["projection_name"]: r["messages"] for r in dlq.latest_messages(df).collect()}
+    assert got == {"p": ["m19", "m17", "m15", "m13", "m11"], "q": ["only"]}
