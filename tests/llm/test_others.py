@@ -13,7 +13,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from chronofold.llm import common, hamming, langid, media, pii, queries, rollup
+from chronofold.llm import common, hamming, media, pii, queries, rollup
 
 SF = "/root/testdata/sf0.001"
 
@@ -85,26 +85,6 @@ def test_sign_code(spark):
     assert [r[0] for r in df.select(hamming.sign_code(F.col("v"))).collect()] == [int(np.uint64(1 | 16 | 1 << 63).astype(np.int64)), None]
 
 
-def test_language_id(spark):
-    docs = spark.read.parquet(f"{SF}/documents.parquet")
-    got = langid.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
-    assert len(got) > 30 and sum(r["lang"] == r["lang_pred"] for r in got) / len(got) > 0.97
-    assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in got)
-    assert all(0 <= r["score"] <= 1 for r in got)
-    model = langid.fit(docs.where(~langid.held_out(docs["doc_id"])))
-    assert model.predict(None) == ("und", 0.0, True) and model.predict("123 !? \n")[0] == "und"
-    assert model.predict("我们今天去了图书馆看书，然后回家吃饭。" * 30)[2] and not model.predict("the")[2]
-    long = " ".join(r["text"] for r in docs.where("lang = 'en'").orderBy("doc_id").limit(60).collect())
-    odd = spark.createDataFrame([(None, None, None, "x"), (1, "", "en", "y"), (2, long, None, "z")], "doc_id bigint, text string, lang string, score string")
-    assert rows(langid.predict(odd.drop("score"), model).select("lang_pred", "rejected")) == [("en", False), ("und", True), ("und", True)]
-    assert rows(langid.identify(odd.drop("score")).select("lang_pred")) == [("und",)] * 3
-    assert langid.identify(docs.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        langid.predict(odd, model)
-    kept = langid.keep_known(docs)
-    assert kept.columns == docs.columns and kept.count() >= 0.99 * docs.count()
-
-
 def test_media_formats():
     rng = np.random.default_rng(3)
     p = rng.integers(0, 256, (5, 7, 3)).astype(np.uint8)
