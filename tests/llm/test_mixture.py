@@ -5,7 +5,6 @@ from __future__ import annotations
 import math
 import random
 
-import pytest
 from conftest import rows
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
@@ -28,35 +27,87 @@ def slow_targets(sizes, weights=(5, 2, 1), cap=3):
         fixed |= {s: cap * sizes[s] for s in above}
 
 
-@settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
+def slow_rate(l, size, cap=3):
+    return cap / (1 + (cap - 1) * math.exp(-l * math.sqrt(size))) if size else 1.0
+
+
+def slow_multiplier(sizes, target, cap=3):
+    """Root of the dual's gradient by bisection; None if all that the cap allows is wanted."""
+    if target >= cap * sum(sizes) * (1 - 1e-12):
+        return None if sum(sizes) else 0.0
+    low, high = -600.0, 600.0
+    for _ in range(200):
+        l = (low + high) / 2
+        low, high = (low, l) if sum(slow_rate(max(-700 / math.sqrt(s or 1), l), s) * s for s in sizes) > target else (l, high)
+    return (low + high) / 2
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.dictionaries(st.sampled_from([None, "", "a", "B", "é", "z", "漢", "src1", "src10", "src2"]), st.integers(0, 10_000), min_size=1))
 def test_targets(spark, sizes):
     df = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint")
-    got = {r["source"]: r for r in mixture.rates(mixture.targets(df)).collect()}
-    want = slow_targets(sizes)
-    for s, t in want.items():
+    got = {r["source"]: r for r in mixture.targets(df).collect()}
+    for s, t in slow_targets(sizes).items():
         assert math.isclose(got[s]["target"], t, rel_tol=1e-9, abs_tol=1e-6)
-        assert math.isclose(got[s]["rate"] * sizes[s], t, rel_tol=1e-6, abs_tol=1e-6)
 
 
-def test_mix(spark):
+def some_docs():
     rnd = random.Random(7)
     docs = [(i, " ".join("w" for _ in range(rnd.choice([1, 5, 50, 300]))), rnd.choice(["a", "a", "a", "b", "c", None]), i) for i in range(3000)]
-    docs += [(None, None, "a", 0), (5, "", None, 0), (6, "dup dup", "b", 0), (6, "dup dup", "b", 0)]
+    docs += [(4000 + i, " ".join("w" for _ in range(rnd.choice([1, 2000]))), "d", 0) for i in range(9)]
+    return docs + [(None, None, "a", 0), (5, "", None, 0), (6, "dup dup", "b", 0), (6, "dup dup", "b", 0)]
+
+
+def test_rates_solve_the_dual(spark):
+    """Rates, and the copies that they are rounded to, against plain bisection and plain error diffusion."""
+    docs = some_docs()
+    df = spark.createDataFrame([(i, d, s, len((t or "").split())) for i, (d, t, s, _) in enumerate(docs)], "row bigint, doc_id bigint, source string, size bigint")
+    got = {r["row"]: r for r in mixture.copies(df).collect()}
+    by, totals = {}, {}
+    for r in got.values():
+        by.setdefault(r["source"], []).append(r)
+    for s, rows_ in by.items():
+        totals[s] = sum(r["size"] for r in rows_)
+    want = slow_targets(totals)
+    for s, rows_ in by.items():
+        l = slow_multiplier([r["size"] for r in rows_], want[s])
+        for r in rows_:
+            assert math.isclose(r["rate"], 3.0 if l is None and r["size"] else slow_rate(l or 0.0, r["size"]), rel_tol=1e-5), (s, l, r)
+        assert math.isclose(sum(r["rate"] * r["size"] for r in rows_), want[s], rel_tol=1e-6)
+    assert len({round(r["rate"], 6) for r in by["a"]}) > 3  # documents of one source are tilted by their size
+
+    keys = dict(df.selectExpr("row", "xxhash64(coalesce(cast(doc_id as string), concat('row ', row))) as k").collect())
+    for s, rows_ in by.items():
+        buckets = {}
+        for r in rows_:
+            buckets.setdefault(keys[r["row"]] % -(-len(rows_) // mixture.BUCKET), []).append(r)
+        for b in buckets.values():
+            due = 0.0
+            for r in sorted(b, key=lambda r: (-r["size"], keys[r["row"]], r["row"])):
+                due += r["rate"] * r["size"]
+                low = math.floor(r["rate"])
+                n = 1 if not r["size"] else math.ceil(r["rate"]) if due - low * r["size"] >= r["size"] / 2 else low
+                due -= n * r["size"]
+                assert r["copies"] == n
+
+
+def test_mix(spark):
+    docs = some_docs()
     df = spark.createDataFrame(docs, "doc_id bigint, text string, source string, n_chars int").repartition(5)
     df.persist()
     got = mixture.plan(df)
     assert got.count() == len(docs) and got.where("taken > 3 * size or taken < 0").isEmpty()
-    by = got.groupBy("source_size", "target").agg(F.sum("taken").alias("taken")).collect()
-    assert all(abs(r["taken"] - r["target"]) <= max(300, 0.02 * r["target"]) for r in by)
+    by = got.groupBy("source_size", "target").agg(F.sum("taken").alias("taken"), F.max("size").alias("most")).collect()
+    assert all(abs(r["taken"] - r["target"]) <= max(r["most"], 0.02 * r["target"]) for r in by)
     assert rows(got) == rows(mixture.plan(df)) == rows(mixture.plan(df.repartition(3)))
     mixed = mixture.mix(df)
     assert mixed.columns == df.columns
     words = F.size(F.filter(F.split("text", " "), lambda x: x != ""))
     assert mixed.agg(F.sum(words)).first()[0] == got.agg(F.sum("taken")).first()[0]
     assert mixture.plan(df.limit(0)).count() == 0 and mixture.mix(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        mixture.mix(df.withColumn("__row", F.lit(1)))
+    clashing = df.selectExpr("*", "1 as `row`", "2 as __copies", "3 as size", "4 as `at`", "5 as n", "6 as target", "7 as `a.b`", "8 as copies", "9 as l")
+    again = mixture.mix(clashing)
+    assert again.columns == clashing.columns and again.count() == mixed.count()
 
 
 def test_only_empty_texts(spark):
