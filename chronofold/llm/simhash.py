@@ -24,6 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.functions import arrow_udf
 
 from chronofold.llm import common
 
@@ -53,16 +54,16 @@ def fingerprint(text: bytes, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * count > n, bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
-    """The rows with their fingerprint as a (signed) long in column `name`, which must be new."""
-    schema = T.StructType([*docs.schema.fields, T.StructField(name, T.LongType())])
+@arrow_udf(T.LongType())
+def fingerprints(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Fingerprints of texts as (signed) longs. Only the texts are sent to Python, nothing of them comes back."""
+    for batch in texts:
+        yield pa.array(np.fromiter((fingerprint(x) for x in common.utf8(batch)), np.uint64, len(batch)).view(np.int64))
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            found = np.fromiter((fingerprint(x) for x in common.utf8(b.column(text))), np.uint64, b.num_rows)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(found.view(np.int64))], names=[*b.schema.names, name])
 
-    return docs.mapInArrow(each, schema)
+def with_fingerprints(docs: DataFrame, text: str = "text", name: str = "fp") -> DataFrame:
+    """The rows with their fingerprint as a (signed) long in column `name`, which must be new."""
+    return docs.withColumn(name, fingerprints(F.col(text)))
 
 
 def anchored(fps: DataFrame) -> DataFrame:
@@ -73,8 +74,8 @@ def anchored(fps: DataFrame) -> DataFrame:
     it is compiled.
     """
     n = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # dealt out anew: what comes in is small by bytes and would be merged into a few tasks
-    got = fps.select("fp").repartition(n, "fp").select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
+    # dealt out anew, by another hash than the one it came by: what comes in is small by bytes and would be merged into a few tasks
+    got = fps.select("fp").repartition(n, F.xxhash64("fp")).select("fp", F.explode(F.array(F.lit(0), F.lit(1))).alias("half"))
     got = got.withColumn("x", F.expr("shiftrightunsigned(fp, half * 32) & 2147483647"))
     masks = [sum(1 << (p - 1) for p in range(1, 32) if p >> k & 1) for k in range(5)]
     got = got.withColumn("s", F.expr(" | ".join(f"shiftleft(cast(bit_count(x & {m}L) % 2 as int), {k})" for k, m in enumerate(masks))))
@@ -112,6 +113,7 @@ def links(fps: DataFrame, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) that connect all fingerprints within the threshold. fps: distinct, in column fp."""
     at = anchored(fps)
     live = at.groupBy("anchor").agg(F.count("*").alias("n"), F.max("home").alias("h")).where("n > 1 and h").drop("h")
+    live = common.written(live, "anchors")  # so that the join has exchanges of its own on both sides, and a hot anchor can be split
     blocks = F.ceil(F.col("n") / block).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("k")).cast("int")
     dealt = at.join(live, "anchor").select("anchor", "fp", blocks.alias("k")).withColumn("i", own)
@@ -148,17 +150,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id")
 def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """The documents with one row of each component left: that with the smallest id (nulls last).
 
-    Columns stay as they are. Repeated rows and null ids are told apart by a row number, fixed by
+    Columns stay as they are, whatever they are called. Repeated rows and null ids are told apart by a row number, fixed by
     writing the table once, so exactly one row stays of each component.
     """
-    row, fp = "__row", "__fp"
-    if clash := {row, fp} & set(docs.columns):
-        raise ValueError(f"reserved column names: {sorted(clash)}")
-    wide = common.written(with_fingerprints(docs.withColumn(row, F.monotonically_increasing_id()), text, fp), "documents")
-    order = F.struct(F.col(doc_id).isNull().alias("n"), F.col(doc_id).alias("d"), F.col(row).alias("r"))
-    ids = wide.select(order.alias("id"), F.col(fp).alias("fp"))
+    rows = F.struct(*(F.col(f"`{c}`") for c in docs.columns))
+    wide = common.written(docs.select(F.monotonically_increasing_id().alias("at"), rows.alias("row"), fingerprints(F.col(text)).alias("fp")), "documents")
+    key = F.col(f"row.`{doc_id}`")
+    ids = wide.select("fp", F.struct(key.isNull().alias("n"), key.alias("d"), F.col("at").alias("r")).alias("id"))
     nodes = ids.groupBy("fp").agg(F.min("id").alias("first"))
     of = common.components(links(nodes.select("fp")))
     nodes = nodes.join(of.withColumnRenamed("node", "fp"), "fp", "left")
-    first = nodes.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first.r").alias("any"), F.min("first").alias("first"))
-    return wide.join(first.select(F.col("first.r").alias(row)), row, "left_semi").select(docs.columns)
+    first = nodes.groupBy(F.coalesce("root", "fp").alias("root")).agg(F.min("first").alias("first"))
+    return wide.join(first.select(F.col("first.r").alias("at")), "at", "left_semi").select(*(F.col(f"row.`{c}`").alias(c) for c in docs.columns))
