@@ -5,17 +5,22 @@ document and its tokens, a delete takes them away, a revision adds the differenc
 Sums of deltas need no reading of documents that did not change, and batches commute.
 
 A batch commits once. Its deltas are pre-aggregated, written to a folder of their own, and become
-visible by one marker file that is created exclusively and names that folder. Committing the id
-again, after a crash or by a second writer, changes nothing. Readers sum over marked folders only.
+visible by a marker that appears whole or not at all, under the batch's id, and names that folder.
+Committing the id again, after a crash or by a second writer, changes nothing. Readers sum over
+marked folders only. compact() sums what is committed into one folder, so that readers open that and
+the later ones.
 """
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from chronofold.sources.commits import Commits
+
 KEYS = ("source", "lang", "tokenizer")
 SCHEMA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
 
@@ -24,7 +29,9 @@ def deltas(changes: DataFrame) -> DataFrame:
     """Signed deltas of changes (op, source, lang, tokenizer, tokens, old_tokens).
 
     op is insert, delete or revise; tokens is the count inserted, deleted or revised to, old_tokens
-    the count revised from. Null counts are 0; any other op is an error.
+    the count revised from. Null counts are 0; null sources and languages are groups of their own;
+    any other op is an error. Each row is a change: repeated rows count as often as they are there, what
+    is delivered twice has to come in a batch of the same id. Empty tables have no deltas.
     """
     new, old = F.coalesce("tokens", F.lit(0)), F.coalesce("old_tokens", F.lit(0))
     docs = F.when(F.col("op") == "insert", 1).when(F.col("op") == "delete", -1).when(F.col("op") == "revise", 0)
@@ -38,49 +45,47 @@ class TokenRollup:
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _marker(self, batch: str):
-        return self._path(f"{self.root}/commits/{batch.encode().hex()}")
+        self._commits, self._snapshots = Commits(spark, f"{self.root}/commits"), Commits(spark, f"{self.root}/snapshots")
 
     def committed(self, batch: str) -> bool:
-        return self._fs.exists(self._marker(batch))
+        return self._commits.get(batch.encode().hex()) is not None
 
     def commit(self, batch: str, changes: DataFrame) -> bool:
-        """Commits a batch of changes under its id. False, and nothing done, if the id is committed."""
-        if self.committed(batch):
-            return False
+        """Commits a batch of changes under its id. False, and nothing done, if the id is committed.
+
+        Of two writers of one id the second's folder stays unmarked, as a lost writer's does.
+        """
+        if not batch:
+            raise ValueError("a batch needs an id")
+        return False if self.committed(batch) else self._commits.claim(batch.encode().hex(), self._written(deltas(changes)))
+
+    def _written(self, rows: DataFrame) -> str:
         data = f"{self.root}/data/{uuid.uuid4().hex}"
-        sums = deltas(changes).groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-        sums.write.parquet(data)
-        try:
-            out = self._fs.create(self._marker(batch), False)
-        except Exception:
-            if not self.committed(batch):
-                raise
-            self._fs.delete(self._path(data), True)
-            return False
-        out.writeBytes(data)
-        out.close()
-        return True
-
-    def _folders(self) -> list[str]:
-        """One small file a batch; compact() keeps their number down."""
-        top = self._path(f"{self.root}/commits")
-        if not self._fs.exists(top):
-            return []
-        found = []
-        for status in self._fs.listStatus(top):
-            if status.isFile() and status.getLen():
-                stream = self._fs.open(status.getPath())
-                found.append(bytes(stream.readAllBytes()).decode())
-                stream.close()
-        return sorted(set(found) - {"-"})
+        rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).write.parquet(data)
+        return data
+
+    def _folders(self) -> tuple[list[str], list[str]]:
+        """Batches that are committed, and folders that hold their sums: the last snapshot's, and one a later batch."""
+        last = self._snapshots.names()[-1:]
+        snapshot = json.loads(self._snapshots.get(last[0])) if last else {"batches": [], "data": []}
+        later = sorted(set(self._commits.names()) - set(snapshot["batches"]))
+        return [*snapshot["batches"], *later], [*snapshot["data"], *(self._commits.get(b) for b in later)]
+
+    def compact(self) -> int:
+        """Sums all that is committed into one folder, which readers use from then on; returns how many batches it holds.
+
+        Markers stay, so ids stay taken. A compaction that another came before is dropped.
+        """
+        number = len(self._snapshots.names())
+        batches, folders = self._folders()
+        if len(folders) > 1:
+            data = self._written(self.spark.read.schema(SCHEMA).parquet(*folders))
+            self._snapshots.claim(f"{number:012d}", json.dumps({"batches": batches, "data": [data]}))
+        return len(batches)
 
     def totals(self) -> DataFrame:
         """Current totals; groups that came to nothing are left out."""
-        folders = self._folders()
+        _, folders = self._folders()
         rows = self.spark.read.schema(SCHEMA).parquet(*folders) if folders else self.spark.createDataFrame([], SCHEMA)
         sums = rows.groupBy(*KEYS).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.where("n_docs <> 0 or n_tokens <> 0")
