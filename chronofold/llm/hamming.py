@@ -30,7 +30,7 @@ SEGMENTS, BITS = 4, 16
 
 
 def sign_code(vector: Column) -> Column:
-    """64 bits of the signs of a vector's first 64 entries: bit i is 1 if entry i is above 0. Null for a null vector."""
+    """64 bits of the signs of a vector's first 64 entries: bit i is 1 if entry i is above 0. Null for a null vector; bits that a shorter vector lacks, and null entries, are 0."""
     bits = F.transform(F.slice(vector, 1, 64), lambda x, i: F.when(x > 0, F.call_function("shiftleft", F.lit(1).cast("bigint"), i)).otherwise(F.lit(0).cast("bigint")))
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
 

@@ -65,9 +65,20 @@ def _netpbm(data: bytes) -> np.ndarray:
         got = np.frombuffer(data, np.uint8 if most < 256 else ">u2", n, at + 1)
     if len(got) != n:
         raise ValueError("Netpbm file cut short")
+    if not 0 < most < 65536:
+        raise ValueError("bad Netpbm header")
     return got.reshape(height, width, channels)
 
 
+def most(data: bytes) -> int:
+    """The sample value of full brightness: a Netpbm file's own, else 255 (1 for bitmaps)."""
+    if data[:2] == b"BM":
+        return 255
+    if data[1:2] in b"14":
+        return 1
+    return int(re.match(rb"P[2356](?:(?:[ \t\r\n\v\f]|#[^\n]*\n)*[0-9]+){2}(?:[ \t\r\n\v\f]|#[^\n]*\n)*([0-9]+)", data)[1])
+
+
 def _bmp(data: bytes) -> np.ndarray:
     (start,) = struct.unpack_from("<I", data, 10)
     head, width, height, _, bits, packed = struct.unpack_from("<IiiHHI", data, 14)
@@ -78,6 +89,8 @@ def _bmp(data: bytes) -> np.ndarray:
     rows = rows[:: -1 if height > 0 else 1, : width * bits // 8]
     if bits == 8:
         palette = np.frombuffer(data, np.uint8, (start - 14 - head) // 4 * 4, 14 + head).reshape(-1, 4)
+        if rows.size and rows.max() >= len(palette):
+            raise ValueError("BMP pixel beyond its palette")
         return palette[rows][:, :, 2::-1]
     return rows.reshape(abs(height), width, bits // 8)[:, :, 2::-1]
 
@@ -132,10 +145,10 @@ def difference_hash(pixels: np.ndarray) -> str:
     return np.packbits(small[:, 1:] > small[:, :-1]).tobytes().hex()
 
 
-def tile(pixels: np.ndarray, size: tuple[int, int] = TILE) -> bytes:
-    """The image resized to 8-bit samples, as an NPY file."""
+def tile(pixels: np.ndarray, size: tuple[int, int] = TILE, full: int = 255) -> bytes:
+    """The image resized to 8-bit samples, `full` brightness becoming 255, as an NPY file."""
     out = io.BytesIO()
-    np.save(out, np.rint(area_resize(pixels, *size)).clip(0, 255).astype(np.uint8), allow_pickle=False)
+    np.save(out, np.rint(area_resize(pixels, *size) * (255 / full)).clip(0, 255).astype(np.uint8), allow_pickle=False)
     return out.getvalue()
 
 
@@ -153,7 +166,7 @@ def with_features(media: DataFrame, column: str = "media") -> DataFrame:
             p = decode(data or b"")
         except (ValueError, struct.error):
             return (None,) * 5
-        return p.shape[1], p.shape[0], p.shape[2], tile(p), difference_hash(p)
+        return p.shape[1], p.shape[0], p.shape[2], tile(p, full=most(data)), difference_hash(p)
 
     def each(b: pa.RecordBatch) -> pa.RecordBatch:
         got = list(zip(*(one(x.as_py()) for x in b.column(column)), strict=True)) or [()] * 5
@@ -172,9 +185,12 @@ def store(text: bytes) -> bytes:
 def text_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """Each text stored as an image, read back, and described. Null texts are empty; other columns are ignored.
 
-    feature: the difference hash and the SHA-256 of the NPY tile, a colon between.
+    feature: the difference hash and the SHA-256 of the NPY tile, a colon between. doc_id keeps its
+    type. Repeated rows are documents of their own; equal texts have equal values. A text of any length
+    is one tall image, resized in strips. An empty table gives an empty result.
     """
-    schema = "doc_id bigint, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
+    kind = dict(docs.dtypes)[doc_id]
+    schema = f"doc_id {kind}, n_bytes bigint, payload_bytes bigint, payload_sha256 string, tail_crc32 bigint, media_bytes bigint, media_sha256 string, feature string"
 
     def one(raw: bytes) -> tuple:
         media = store(raw)
@@ -189,4 +205,4 @@ def text_media(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
             got = list(zip(*map(one, common.utf8(b.column("text"))), strict=True)) or [()] * len(kinds)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), *(pa.array(x, k) for x, k in zip(got, kinds, strict=True))], names=[x.split()[0] for x in schema.split(", ")])
 
-    return docs.select(F.col(doc_id).cast("bigint").alias("doc_id"), F.col(text).alias("text")).mapInArrow(each, schema)
+    return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(each, schema)

@@ -8,7 +8,7 @@ from collections import Counter, defaultdict
 import corpus_pipeline
 import public_tokenizers as P
 from pyspark.sql import functions as F
-from test_others import BASE, slow_base
+from test_pii import BASE, redacted, slow_find
 from test_simhash import slow_components, slow_fingerprint
 
 from chronofold.llm import bpe, mixture
@@ -16,17 +16,6 @@ from chronofold.llm import bpe, mixture
 SF = "/root/testdata/sf0.001"
 
 
-def redacted(text):
-    """Base spans only; the tables have nothing that the classifier adds."""
-    spans = sorted((int(a), -int(b), k) for k, a, b in (x.split(":") for x in slow_base(text)))
-    out, at = [], 0
-    for a, b, k in spans:
-        if a >= at:
-            out += [text[at:a], f"<{k.upper()}>"]
-        at = max(at, -b)
-    return "".join([*out, text[at:]])
-
-
 def test_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] and len(BASE) == 4 and re
     docs = spark.read.parquet(f"{SF}/documents.parquet")
@@ -36,7 +25,8 @@ def test_stages(spark):
     roots = slow_components([slow_fingerprint(d["text"]) for d in table])
     table = [d for i, d in enumerate(table) if roots[i] == i]
     own = bpe.tokenizer(open(P.path("byte_bpe_50k.tiktoken"), "rb").read(), P.PATTERN)
-    by_id = {d["doc_id"]: own.ids_digest(own.encode(redacted(d["text"]))) for d in table}
+    spans = slow_find([d["text"] for d in table])
+    by_id = {d["doc_id"]: own.ids_digest(own.encode(redacted(d["text"], s))) for d, (s, _) in zip(table, spans, strict=True)}
     assert {r["doc_id"] for r in got} <= set(by_id)
     assert all(r["ids_sha256"] == by_id[r["doc_id"]] for r in got)
     copies, size, source = Counter(r["doc_id"] for r in got), {d["doc_id"]: len(d["text"].split()) for d in table}, {d["doc_id"]: d["source"] for d in table}
