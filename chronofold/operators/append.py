@@ -1,9 +1,10 @@
 """The write path as plans: normalise, check, tell accepted from refused.
 
-Everything is set-wise: many requests at once, each for one stream. Of requests for the same stream
-in one batch the first (by request_id) is considered; the others are refused as Concurrency, as
-their writers would have found the head moved. Order of the checks: arguments, tenant, the
-idempotency ledger, the expected head, contiguous nonces, event ids.
+Everything is set-wise: many requests at once, each for one stream. Of the requests for one stream in
+one batch that pass the checks against the log, the first (by request_id) is considered; the others
+are refused as Concurrency, as their writers would have found the head moved. Requests that are
+refused themselves stand in nobody's way. Order of the checks: arguments, tenant, the idempotency
+ledger, the expected head, contiguous nonces, event ids.
 """
 
 from __future__ import annotations
@@ -59,19 +60,14 @@ def validate(requests: DataFrame, heads: DataFrame, ledger: DataFrame, known_ids
     raw = F.coalesce("events", F.array())
     events = F.transform(raw, lambda e: normalize(e, t, a, F.col("aggregate_type")))
     got = requests.withColumn("events", events).withColumn("n", F.size("events")).withColumn("fingerprint", batch_fingerprint(F.col("events")))
-    first = Window.partitionBy("tenant_id", "aggregate_id").orderBy("request_id")
-    got = got.withColumn("turn", F.row_number().over(first))
-
     got = got.join(heads, ["tenant_id", "aggregate_id"], "left").withColumn("head", F.coalesce("head", F.lit(0).cast("bigint")))
     old = ledger.select("tenant_id", "aggregate_id", "idempotency_key", F.col("fingerprint").alias("old_fingerprint"), F.col("last_nonce").alias("old_last"))
     got = got.join(old, ["tenant_id", "aggregate_id", "idempotency_key"], "left")
 
+    # of the log's ids only those that the batch has too: the batch is the small side of a semi-join
     ids = got.select("request_id", "tenant_id", F.explode("events.event_id").alias("event_id"))
-    known = known_ids.select("tenant_id", "event_id").withColumn("known", F.lit(1)).dropDuplicates(["tenant_id", "event_id"])
-    # an id is taken if the log has it, or an earlier request or event of this batch
-    order = Window.partitionBy("tenant_id", "event_id").orderBy("request_id").rowsBetween(Window.unboundedPreceding, -1)
-    taken = ids.withColumn("seen", F.count("*").over(order)).join(known, ["tenant_id", "event_id"], "left")
-    taken = taken.groupBy("request_id").agg(F.max((F.col("known").isNotNull() | (F.col("seen") > 0)).cast("int")).alias("taken"))
+    known = known_ids.select("tenant_id", "event_id").join(ids.select("tenant_id", "event_id").distinct(), ["tenant_id", "event_id"], "left_semi").distinct().withColumn("known", F.lit(1))
+    taken = ids.join(known, ["tenant_id", "event_id"], "left").groupBy("request_id").agg(F.max("known").alias("known"), (F.count("*") > F.count_distinct("event_id")).alias("twice"))
     got = got.join(taken, "request_id", "left")
 
     missing = t.isNull() | (t == "")
@@ -80,18 +76,28 @@ def validate(requests: DataFrame, heads: DataFrame, ledger: DataFrame, known_ids
     stranger = F.exists("events", lambda e: e["tenant_id"] != t)
     steps = F.transform("events", lambda e, i: e["aggregate_nonce"] - i)
     contiguous = F.forall(steps, lambda x: x == F.col("head") + 1)
-    status = (
+    alone = (
         F.when(missing, "Unauthenticated")
         .when(incomplete | malformed, "Invalid")
         .when(stranger, "PermissionDenied")
         .when(F.col("old_fingerprint") == F.col("fingerprint"), "replayed")
         .when(F.col("old_fingerprint").isNotNull(), "AlreadyExists")
-        .when((F.col("turn") > 1) | (F.col("expected") != F.col("head")), "Concurrency")
+        .when(F.col("expected") != F.col("head"), "Concurrency")
         .when(~contiguous, "Invalid")
-        .when(F.col("taken") == 1, "DuplicateEvent")
+        .when((F.col("known") == 1) | F.col("twice"), "DuplicateEvent")
         .otherwise("ok")
     )
-    return got.withColumn("status", status)
+    got = got.withColumn("alone", alone).drop("known", "twice")
+    # within the batch only requests that are right by themselves count: one a stream, then one an event id
+    right = F.col("alone") == "ok"
+    order = Window.partitionBy("tenant_id", "aggregate_id", right).orderBy("request_id")
+    got = got.withColumn("late", right & (F.row_number().over(order) > 1))
+    rest = got.where(right & ~F.col("late")).select("request_id", "tenant_id", F.explode("events.event_id").alias("event_id"))
+    first = rest.withColumn("rank", F.row_number().over(Window.partitionBy("tenant_id", "event_id").orderBy("request_id")))
+    clash = first.groupBy("request_id").agg((F.max("rank") > 1).alias("clash"))
+    got = got.join(clash, "request_id", "left")
+    status = F.when(F.col("late"), "Concurrency").when(F.col("clash"), "DuplicateEvent").otherwise(F.col("alone"))
+    return got.withColumn("status", status).drop("alone", "late", "clash")
 
 
 def accepted_events(checked: DataFrame) -> DataFrame:

@@ -18,10 +18,16 @@ def create(rows: DataFrame, event_type: Column, payload: Column, head: Column |
 
 
 def to_json(log: DataFrame, name: str = "json") -> DataFrame:
-    """Each event as one JSON object; null fields are left out, the payload is embedded as an object if it is one."""
+    """Each event as one JSON object; null fields are left out, the payload is embedded as the object that it is.
+
+    A payload that is a JSON object is put in as its own text, so numbers, booleans and what is nested
+    stay as they are; any other is left out.
+    """
     meta = F.struct(*(c for c in log.columns if c not in ("payload", "event_type", "event_version")))
-    body = F.from_json(F.col("payload").cast("string"), "map<string,string>")
-    return log.select("event_id", F.to_json(F.struct(F.col("event_type").alias("type"), F.col("event_version").alias("version"), meta.alias("metadata"), body.alias("data"))).alias(name))
+    text = F.trim(F.col("payload").cast("string"))
+    is_object = text.startswith("{") & F.try_parse_json(text).isNotNull()
+    rest = F.to_json(F.struct(F.col("event_type").alias("type"), F.col("event_version").alias("version"), meta.alias("metadata")))
+    return log.select("event_id", F.when(is_object, F.concat(F.left(rest, F.length(rest) - 1), F.lit(',"data":'), text, F.lit("}"))).otherwise(rest).alias(name))
 
 
 def decode(log: DataFrame, registry: dict[str, str], payload: str = "payload") -> DataFrame:

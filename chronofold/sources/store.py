@@ -1,9 +1,11 @@
 """A durable log in files: one committer, batches that become visible at once, no update or delete.
 
-Under the root, data/<uuid> holds a batch's events as Parquet, and commits/<number> is a small
-file, created exclusively, that names the folder. Readers list commits, so a batch is seen whole or
-not at all; a writer that died left data that no commit names. Global nonces are given at commit:
-the base is the last commit's, and only the new batch is numbered.
+Under the root, data/<uuid>, heads/<uuid> and ledger/<uuid> hold a batch's events, the heads of the
+streams that it wrote and its idempotency keys, as Parquet. commits/<number> is a small file that
+appears whole or not at all and names these folders. Readers list commits, so a batch is seen whole
+or not at all; a writer that died left data that no commit names. Every INDEX commits one file,
+index/<number>, holds all commits up to it, so readers open that and the few later ones. Global nonces
+are given at commit: the base is the last commit's, and only the new batch is numbered.
 """
 
 from __future__ import annotations
@@ -16,6 +18,11 @@ from pyspark.sql import functions as F
 
 from chronofold import schema
 from chronofold.operators import append
+from chronofold.sources.commits import Commits
+
+#: Commits after which an index of all of them is written.
+INDEX = 64
+HEADS = "tenant_id string, aggregate_id string, head bigint"
 
 
 class EventStore:
@@ -23,66 +30,63 @@ class EventStore:
         self.spark, self.root = spark, root.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._commits, self._index = Commits(spark, f"{self.root}/commits"), Commits(spark, f"{self.root}/index")
 
     def commits(self) -> list[dict]:
-        """Commits in order: number, data, ledger, head. One small file a batch."""
-        top = self._path(f"{self.root}/commits")
-        if not self._fs.exists(top):
-            return []
-        out = []
-        for s in self._fs.listStatus(top):
-            stream = self._fs.open(s.getPath())
-            out.append(json.loads(bytes(stream.readAllBytes()).decode()))
-            stream.close()
-        return sorted(out, key=lambda c: c["number"])
+        """Commits in order: number, data, heads, ledger, n, head. The last index and the commits after it are read."""
+        last = self._index.names()[-1:]
+        out = json.loads(self._index.get(last[0])) if last else []
+        while (text := self._commits.get(f"{len(out):012d}.json")) is not None:
+            out.append(json.loads(text))
+        return out
+
+    def _read(self, kind: str, what: str | object) -> DataFrame:
+        folders = [c[kind] for c in self.commits()]
+        return self.spark.read.schema(what).parquet(*folders) if folders else self.spark.createDataFrame([], what)
 
     def events(self) -> DataFrame:
         """All committed events."""
-        folders = [c["data"] for c in self.commits() if c["n"]]
-        return self.spark.read.schema(schema.ENVELOPE).parquet(*folders) if folders else self.spark.createDataFrame([], schema.ENVELOPE)
+        return self._read("data", schema.ENVELOPE)
+
+    def heads(self) -> DataFrame:
+        """Head of each stream, from the heads that commits wrote: a row for each stream and batch, not for each event."""
+        return self._read("heads", HEADS).groupBy("tenant_id", "aggregate_id").agg(F.max("head").alias("head"))
 
     def ledger(self) -> DataFrame:
-        folders = [c["ledger"] for c in self.commits() if c["n"]]
-        return self.spark.read.schema(schema.LEDGER).parquet(*folders) if folders else self.spark.createDataFrame([], schema.LEDGER)
+        return self._read("ledger", schema.LEDGER)
 
     def append(self, requests: DataFrame) -> DataFrame:
         """Commits what is valid of the requests; returns each request's outcome (request_id, status, actual_head, last_nonce).
 
         Concurrency of writers is settled by the commit file: whoever comes second finds the number
-        taken, validates again against the new heads, and retries.
+        taken, validates again against the new heads, and retries. The outcomes are written beside
+        the batch, so that they stay what they were when it was committed.
         """
         while True:
             commits = self.commits()
             number, base = len(commits), max((c["head"] for c in commits), default=0)
-            log = self.events()
-            touched = log.join(requests.select("tenant_id", "aggregate_id").distinct(), ["tenant_id", "aggregate_id"], "left_semi")
-            checked = append.validate(requests, append.heads_of(touched), self.ledger(), log.select("tenant_id", "event_id")).cache()
+            checked = append.validate(requests, self.heads(), self.ledger(), self.events().select("tenant_id", "event_id"))
+            tag = uuid.uuid4().hex
+            own = {k: f"{self.root}/{k}/{tag}" for k in ("checked", "data", "heads", "ledger")}
+            checked.write.parquet(own["checked"])
+            checked = self.spark.read.schema(checked.schema).parquet(own["checked"])
             accepted = append.accepted_events(checked)
+            if accepted.isEmpty():
+                return append.outcomes(checked)
             order = Window.orderBy("request_id", "aggregate_nonce")  # over the new batch only
             numbered = accepted.withColumn("global_nonce", F.lit(base) + F.row_number().over(order)).select(schema.ENVELOPE.names)
-            tag = uuid.uuid4().hex
-            data, ledger = f"{self.root}/data/{tag}", f"{self.root}/ledger/{tag}"
-            numbered.write.parquet(data)
-            append.ledger_rows(checked).write.parquet(ledger)
-            n = self.spark.read.schema(schema.ENVELOPE).parquet(data).count()
-            commit = {"number": number, "data": data, "ledger": ledger, "n": n, "head": base + n}
-            if not n or self._claim(number, commit):
+            numbered.write.parquet(own["data"])
+            append.heads_of(accepted).write.parquet(own["heads"])
+            append.ledger_rows(checked).write.parquet(own["ledger"])
+            n = self.spark.read.schema(schema.ENVELOPE).parquet(own["data"]).count()
+            commit = {"number": number, **{k: own[k] for k in ("data", "heads", "ledger")}, "n": n, "head": base + n}
+            if self._commits.claim(f"{number:012d}.json", json.dumps(commit)):
+                if (number + 1) % INDEX == 0:
+                    self._index.claim(f"{number + 1:012d}.json", json.dumps([*commits, commit]))
                 return append.outcomes(checked)
-            for folder in (data, ledger):
+            for folder in own.values():
                 self._fs.delete(self._path(folder), True)
 
-    def _claim(self, number: int, commit: dict) -> bool:
-        path = self._path(f"{self.root}/commits/{number:012d}.json")
-        try:
-            out = self._fs.create(path, False)
-        except Exception:
-            if not self._fs.exists(path):
-                raise
-            return False
-        out.writeBytes(json.dumps(commit))
-        out.close()
-        return True
-
     def update(self, *_: object) -> None:
         raise schema.Immutable("events are never changed")
 
