@@ -35,6 +35,16 @@ def merged(old: DataFrame, new: DataFrame) -> DataFrame:
     return both.join(top, ["projection_name", "version"]).groupBy("projection_name", "version").agg(F.max("global_position").alias("global_position"), F.max("updated_at").alias("updated_at"))
 
 
+def listing(checkpoints: DataFrame) -> DataFrame:
+    """All checkpoints by name."""
+    return checkpoints.orderBy("projection_name")
+
+
+def removed(checkpoints: DataFrame, names: DataFrame) -> DataFrame:
+    """The checkpoints without those of some projections (projection_name), which then start afresh."""
+    return checkpoints.join(names.select("projection_name"), "projection_name", "left_anti")
+
+
 def start_positions(registered: DataFrame, checkpoints: DataFrame) -> DataFrame:
     """Where each registered projection (projection_name, version) goes on, and whether it rebuilds.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -12,13 +11,16 @@ from chronofold.functions import text, values
 from chronofold.operators import fold
 
 #: Parts of messages of errors that may pass.
-TRANSIENT = ["timeout", "timed out", "connection", "network", "unavailable", "temporarily", "rate limit", "too many requests", "deadlock"]
+TRANSIENT = ["econnrefused", "etimedout", "econnreset", "enotfound", "connection", "timeout", "unavailable", "temporarily", "overloaded", "too many connections", "connection pool", "socket hang up"]
 PENDING, REPROCESSING, RESOLVED, IGNORED = "pending", "reprocessing", "resolved", "ignored"
 
 
 @dataclass(frozen=True)
 class RetryPolicy:
-    """Exponential backoff; multiplier 1 makes it fixed, attempts 0 none. patterns replace TRANSIENT."""
+    """Exponential backoff; multiplier 1 makes it fixed, attempts 0 none.
+
+    patterns, parts of messages in any case, replace TRANSIENT; none or an empty tuple leave it.
+    """
 
     attempts: int = 3
     initial_ms: int = 100
@@ -33,25 +35,22 @@ class RetryPolicy:
         return attempt < self.attempts
 
     def is_transient(self, message: str) -> bool:
-        if self.patterns is not None:
-            return any(re.search(p, message, re.IGNORECASE) for p in self.patterns)
-        return any(p in message.lower() for p in TRANSIENT)
+        return any(p.lower() in message.lower() for p in self.patterns or TRANSIENT)
+
+    def transient(self, message: Column) -> Column:
+        return text.contains_any(message, list(self.patterns or TRANSIENT))
 
     def delay(self, attempt: Column) -> Column:
         return values.backoff_ms(attempt, self.initial_ms, self.multiplier, self.most_ms)
 
 
-def transient(message: Column) -> Column:
-    return text.contains_any(message, TRANSIENT)
-
-
 def route(results: DataFrame, policy: RetryPolicy) -> DataFrame:
     """What becomes of each outcome (result, error, attempt): advance, retry after a delay, or dead letter.
 
     RETRY always counts as retryable; FAILURE only if its message is of an error that may pass.
     """
     more = F.col("attempt") < policy.attempts
-    again = (F.col("result") == "RETRY") | ((F.col("result") == "FAILURE") & transient(F.coalesce("error", F.lit(""))))
+    again = (F.col("result") == "RETRY") | ((F.col("result") == "FAILURE") & policy.transient(F.coalesce("error", F.lit(""))))
     action = F.when(F.col("result").isin("SUCCESS", "SKIP"), "advance").when(again & more, "retry").otherwise("dead letter")
     return results.withColumn("action", action).withColumn("delay_ms", F.when(F.col("action") == "retry", policy.delay(F.col("attempt") + 1)))
 
@@ -76,10 +75,10 @@ def listing(failed: DataFrame, projection: str | None = None, status: str | None
 
 
 def counts(failed: DataFrame) -> DataFrame:
-    """Dead letters by projection: pending ones and all, and five messages, the first in
-    alphabetical order of all letters; latest_messages() has the newest.
-    """
-    return current(failed).groupBy("projection_name").agg(F.count_if(F.col("status") == PENDING).alias("pending"), F.count("*").alias("total"), F.slice(F.array_sort(F.collect_set("error")), 1, 5).alias("messages"))
+    """Dead letters by projection: pending ones and all, and the messages of the five newest pending ones."""
+    now = current(failed)
+    got = now.groupBy("projection_name").agg(F.count_if(F.col("status") == PENDING).alias("pending"), F.count("*").alias("total"))
+    return got.join(latest_messages(failed), "projection_name", "left").withColumn("messages", F.coalesce("messages", F.array().cast("array<string>")))
 
 
 def latest_messages(failed: DataFrame, most: int = 5) -> DataFrame:

@@ -54,15 +54,56 @@ def rate(events: DataFrame, ts: str, keys: list[str], minutes: int = 5) -> DataF
     return got.select(*keys, F.col("w.start").alias("start"), "n", (F.col("n") / (60.0 * minutes)).alias("per_second"))
 
 
+def _label_text(labels: Column) -> Column:
+    """Labels sorted by name, without braces; backslashes, quotes and line ends escaped."""
+    escaped = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(F.regexp_replace(e["value"], r'([\\"])', r"\\$1"), "\n", r"\\n"), F.lit('"')))
+    return F.array_join(escaped, ",")
+
+
+def _braces(labels: Column) -> Column:
+    return F.when(labels != "", F.concat(F.lit("{"), labels, F.lit("}"))).otherwise("")
+
+
 def exposition(samples: DataFrame) -> DataFrame:
-    """Prometheus text lines of (name, labels as a map, value), labels sorted by name."""
-    entries = F.transform(F.array_sort(F.map_entries("labels")), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(e["value"], r'([\\"])', r"\\$1"), F.lit('"')))
-    labels = F.when(F.size("labels") > 0, F.concat(F.lit("{"), F.array_join(entries, ","), F.lit("}"))).otherwise("")
-    return samples.select(F.concat(F.col("name"), labels, F.lit(" "), F.format_string("%s", "value")).alias("line"))
+    """Prometheus text lines of (name, labels as a map, value)."""
+    return samples.select(F.concat(F.col("name"), _braces(_label_text(F.col("labels"))), F.lit(" "), F.format_string("%s", "value")).alias("line"))
+
+
+def headers(named: DataFrame) -> DataFrame:
+    """HELP and TYPE lines of (name, help, type), one pair a name."""
+    once = named.select("name", "help", "type").distinct()
+    lines = F.array(F.concat_ws(" ", F.lit("# HELP"), "name", F.regexp_replace(F.regexp_replace("help", r"\\", r"\\\\"), "\n", r"\\n")), F.concat_ws(" ", F.lit("# TYPE"), "name", "type"))
+    return once.select(F.explode(lines).alias("line"))
+
+
+def histogram_exposition(hist: DataFrame, name: str, labels: Column) -> DataFrame:
+    """Lines of a histogram() table: a cumulative _bucket a bound (+Inf last), _sum and _count. labels: a map from its keys."""
+    own = hist.select(_label_text(labels).alias("l"), "le", "cumulative", "n", "total")
+    bound = F.when(F.col("le").isNull(), "+Inf").otherwise(F.format_string("%s", F.col("le")))
+    inside = F.concat(F.when(F.col("l") != "", F.concat(F.col("l"), F.lit(","))).otherwise(""), F.lit('le="'), bound, F.lit('"'))
+    buckets = own.select(F.concat(F.lit(f"{name}_bucket{{"), inside, F.lit("} "), F.col("cumulative").cast("string")).alias("line"))
+    whole = own.where("le is null")
+    sums = whole.select(F.concat(F.lit(f"{name}_sum"), _braces(F.col("l")), F.lit(" "), F.format_string("%s", "total")).alias("line"))
+    return buckets.union(sums).union(whole.select(F.concat(F.lit(f"{name}_count"), _braces(F.col("l")), F.lit(" "), F.col("n").cast("string")).alias("line")))
+
+
+#: Names of the metrics of a log and its projections, with their types.
+NAMES = {
+    "es_events_appended_total": "counter",
+    "es_events_append_duration_seconds": "histogram",
+    "es_aggregate_load_duration_seconds": "histogram",
+    "es_command_duration_seconds": "histogram",
+    "es_projection_events_processed_total": "counter",
+    "es_projection_lag_events": "gauge",
+    "es_projection_errors_total": "counter",
+    "es_projection_process_duration_seconds": "histogram",
+    "es_dlq_size": "gauge",
+    "es_retries_total": "counter",
+}
 
 
 def of_log(log: DataFrame, health: DataFrame) -> DataFrame:
-    """Metrics of a log and its projections as samples (name, labels, value): events by type, lag, position, failures, status."""
+    """Metrics of a log and its projections as samples (name, labels, value) under short names: events by type, lag, position, failures, status."""
     labels = F.create_map(F.lit("event_type"), F.col("event_type"))
     events = log.groupBy("event_type").agg(F.count("*").cast("double").alias("value")).select(F.lit("events_appended_total").alias("name"), labels.alias("labels"), "value")
     of = F.create_map(F.lit("projection"), F.col("projection_name"))
@@ -70,3 +111,26 @@ def of_log(log: DataFrame, health: DataFrame) -> DataFrame:
     rows = {"projection_lag": F.col("lag"), "projection_position": F.col("position"), "projection_failed_events": F.col("failed"), "projection_up": up}
     each = F.explode(F.array(*(F.struct(F.lit(k).alias("name"), v.cast("double").alias("value")) for k, v in rows.items())))
     return events.unionByName(health.select(of.alias("labels"), each.alias("x")).select(F.col("x.name").alias("name"), "labels", F.col("x.value").alias("value")))
+
+
+def standard(log: DataFrame, health: DataFrame, failed: DataFrame | None = None, handled: DataFrame | None = None) -> DataFrame:
+    """Counters and gauges of NAMES that follow from tables, as samples (name, labels, value).
+
+    From the log: events by type. From health (projection_name, lag, failed): lag, size of the dead-letter
+    table. From failed (dead letters with attempts): errors and retries. From handled (a row an event that
+    a projection handled): events processed. Durations come from samples by way of histogram().
+    """
+    by_type = F.create_map(F.lit("event_type"), F.col("event_type"))
+    of = F.create_map(F.lit("projection"), F.col("projection_name"))
+
+    def each(rows: DataFrame, name: str, labels: Column, value: Column) -> DataFrame:
+        return rows.select(F.lit(name).alias("name"), labels.alias("labels"), value.cast("double").alias("value"))
+
+    got = each(log.groupBy("event_type").agg(F.count("*").alias("n")), "es_events_appended_total", by_type, F.col("n"))
+    got = got.union(each(health, "es_projection_lag_events", of, F.col("lag"))).union(each(health, "es_dlq_size", of, F.col("failed")))
+    if failed is not None:
+        sums = failed.groupBy("projection_name").agg(F.count("*").alias("n"), F.sum(F.col("attempts") - 1).alias("again"))
+        got = got.union(each(sums, "es_projection_errors_total", of, F.col("n"))).union(each(sums, "es_retries_total", of, F.col("again")))
+    if handled is not None:
+        got = got.union(each(handled.groupBy("projection_name").agg(F.count("*").alias("n")), "es_projection_events_processed_total", of, F.col("n")))
+    return got

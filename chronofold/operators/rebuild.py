@@ -7,25 +7,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from chronofold.sources.commits import Commits
+
 
 class Versioned:
     """A read model in files: each build has a folder of its own, one small pointer names the current one."""
 
     def __init__(self, spark: SparkSession, root: str) -> None:
         self.spark, self.root = spark, root.rstrip("/")
-        self._path = spark._jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.root).getFileSystem(spark._jsc.hadoopConfiguration())
+        self._pointers = Commits(spark, f"{self.root}/pointers")
 
     def current(self) -> str | None:
         """Folder of the build in use: the pointer of highest number."""
-        top = self._path(f"{self.root}/pointers")
-        if not self._fs.exists(top):
-            return None
-        last = max((s.getPath() for s in self._fs.listStatus(top)), key=lambda p: p.getName())
-        stream = self._fs.open(last)
-        found = bytes(stream.readAllBytes()).decode()
-        stream.close()
-        return found
+        names = self._pointers.names()
+        return self._pointers.get(names[-1]) if names else None
 
     def read(self) -> DataFrame:
         return self.spark.read.parquet(self.current())
@@ -37,11 +32,9 @@ class Versioned:
         return folder
 
     def swap(self, folder: str) -> None:
-        top = self._path(f"{self.root}/pointers")
-        n = len(self._fs.listStatus(top)) if self._fs.exists(top) else 0
-        out = self._fs.create(self._path(f"{self.root}/pointers/{n:012d}"), False)
-        out.writeBytes(folder)
-        out.close()
+        """Readers see the new build from now on. A pointer appears whole or not at all; of two swaps the later wins."""
+        while not self._pointers.claim(f"{len(self._pointers.names()):012d}", folder):
+            pass
 
 
 def reprocess(pending: DataFrame, log: DataFrame, handle: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:

@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import time
 from datetime import UTC, datetime
 
 import pytest
@@ -42,7 +43,9 @@ def test_retry_policy():
     assert [p.delay_ms(i) for i in (1, 2, 3, 10)] == [100, 200, 400, 30000]
     assert [p.should_retry(i) for i in range(4)] == [True, True, True, False]
     assert p.is_transient("Connection refused") and not p.is_transient("bad value")
-    assert dlq.RetryPolicy(patterns=("bad.*",)).is_transient("Bad value")
+    assert p.is_transient("connect ECONNRESET") and p.is_transient("socket hang up") and not p.is_transient("rate limit")
+    assert dlq.RetryPolicy(patterns=("bad",)).is_transient("Bad value") and not dlq.RetryPolicy(patterns=("b.d",)).is_transient("Bad value")
+    assert dlq.RetryPolicy(patterns=()).is_transient("timeout")
 
 
 def test_dead_letters(spark):
@@ -90,7 +93,7 @@ def test_coordinator_batch_and_stream_agree(spark, root):
     def projection(where):
         return runtime.Projection("counts", lambda df, _: seen[where].extend((r[0], r[1]) for r in df.groupBy("event_type").count().collect()), ["purchase", "error"])
 
-    batch, stream = runtime.Coordinator([projection("batch")]), runtime.Coordinator([projection("stream")])
+    batch, stream = runtime.Coordinator(spark, f"{root}/b", [projection("batch")]), runtime.Coordinator(spark, f"{root}/s", [projection("stream")])
     batch.run_table(log)
     live = runtime.subscribe(spark, f"{root}/log", log.schema, 1)
     stream.run_stream(live, f"{root}/checkpoint").awaitTermination()
@@ -108,6 +111,40 @@ def test_coordinator_batch_and_stream_agree(spark, root):
     assert len(seen["stream"]) == n
 
 
+def test_a_killed_stream_goes_on_where_it_was(spark, root):
+    """Dies after a batch was handled, before it was recorded; a new coordinator gets to the same table as one batch."""
+    log = _log_files(spark, root)
+    out, starts = f"{root}/out", []
+
+    def handle(df, context):
+        df.groupBy("event_type").count().write.mode("overwrite").parquet(f"{out}/batch={context.batch_id}")
+        if context.batch_id == 1 and len(starts) == 1:
+            raise KeyError("killed")
+
+    def coordinator():
+        starts.append(1)
+        return runtime.Coordinator(spark, f"{root}/state", [runtime.Projection("counts", handle)], on_failure="block")
+
+    live = runtime.subscribe(spark, f"{root}/log", log.schema, 1)
+    with pytest.raises(Exception, match="killed"):
+        coordinator().run_stream(live, f"{root}/checkpoint").awaitTermination()
+    assert coordinator().position("counts") > 0
+    coordinator().run_stream(live, f"{root}/checkpoint").awaitTermination()
+    assert rows(spark.read.parquet(out).groupBy("event_type").agg(F.sum("count"))) == rows(log.groupBy("event_type").count())
+
+    tries = []
+
+    def stumbles(df, context):
+        tries.append(context.batch_id)
+        if len(tries) in (1, 2, 4):
+            raise KeyError("killed")
+
+    slept = []
+    c = runtime.Coordinator(spark, f"{root}/again", [runtime.Projection("p", stumbles)], on_failure="block", sleep=slept.append)
+    assert c.stay(live, f"{root}/checkpoint2") == 3 and c.position("p") == reading.head(log)
+    assert slept == [0.1, 0.2, 0.1]
+
+
 def test_streaming_daily_sales_equals_batch(spark, root):
     log = _log_files(spark, root)
     live = runtime.daily_sales(runtime.subscribe(spark, f"{root}/log", log.schema), "purchase")
@@ -116,29 +153,109 @@ def test_streaming_daily_sales_equals_batch(spark, root):
     assert rows(got) == rows(projections.daily_sales(log, "purchase").select("day", "revenue", "sales"))
 
 
-def test_gating_versions_failures(spark):
-    log = reading.without_nonce(spark, SF)
-    acted, cleared = [], []
-    manager = runtime.ProcessManager(lambda df: df.where("event_type = 'signup'").select(F.col("global_nonce").cast("string").alias("key")), acted.append)
-    c = runtime.Coordinator([runtime.Projection("p", lambda df, _: None)], managers=[manager], boundary=500)
-    c.run_batch(log.where("global_nonce <= 500"), 0)
-    assert not acted and not c.live
-    c.run_batch(log.where("global_nonce > 500"), 1)
-    assert c.live and acted and verify.idempotent(manager.process_pending)
-    n = len(acted)
-    c.run_batch(log.where("global_nonce > 500"), 1)
-    assert len(acted) == n and c.start() == 1001
-
-    def fails(df, _):
-        raise ValueError("bad payload")
-
-    c = runtime.Coordinator([runtime.Projection("p", fails), runtime.Projection("q", lambda df, _: None, version=2, clear=lambda: cleared.append(1))], checkpoints={"q": Checkpoint("q", 700, 1)})
+def test_boundary_and_process_managers(spark, root):
+    log = reading.from_events(spark, SF)
+    acted, parts = [], []
+
+    def build():
+        manager = runtime.ProcessManager("m", lambda df: df.where("event_type = 'signup'").select(F.col("global_nonce").cast("string").alias("key")), lambda item: acted.append(item["key"]), spark, f"{root}/managers")
+        p = runtime.Projection("p", lambda df, context: parts.append((context.live, df.count())))
+        return manager, runtime.Coordinator(spark, f"{root}/state", [p], [manager], boundary=500)
+
+    manager, c = build()
+    c.run_batch(log.where("global_nonce <= 400"), 0)
+    assert not acted and parts == [(False, 400)]
+    manager, c = build()  # restarted
+    c.run_batch(log.where("global_nonce > 400"), 1)  # across the boundary: in two parts
+    assert parts[1:] == [(False, 100), (True, 500)]
+    want = sorted(str(r[0]) for r in log.where("event_type = 'signup'").select("global_nonce").collect())
+    assert sorted(acted) == want and verify.idempotent(manager.process_pending)
+    manager, c = build()  # restarted again: nothing is acted on twice, no batch handled twice
+    c.run_batch(log.where("global_nonce > 400"), 1)
+    assert manager.process_pending() == 0 and sorted(acted) == want and len(parts) == 3
+    assert c.start() == 1001
+
+
+def test_rebuild_replays_one_projection(spark, root):
+    log = reading.from_events(spark, SF)
+    calls, cleared = [], []
+    both = [runtime.Projection(n, lambda df, _, n=n: calls.append((n, df.count())), clear=lambda n=n: cleared.append(n)) for n in "pq"]
+    c = runtime.Coordinator(spark, root, both)
+    c.run_table(log.where("global_nonce <= 600"))
+    c.run_table(log)
+    assert calls == [("p", 600), ("q", 600), ("p", 400), ("q", 400)]
+    c.rebuild("p")
+    assert cleared == ["p"] and c.position("p") == 0 and c.start() == 0
     c.run_table(log)
-    assert cleared and [s["failed"] for s in c.status()] == [1, 0] and c.status()[0]["position"] == 1000
+    assert calls[4:] == [("p", 1000)] and c.position("p") == 1000
+    changed = runtime.Coordinator(spark, root, [runtime.Projection("q", both[1].handle, version=2, clear=both[1].clear)])
+    changed.run_table(log)
+    assert cleared == ["p", "q"] and calls[5:] == [("q", 1000)]
+    assert rows(changed.checkpoints().select("projection_name", "global_position", "version")) == [("p", 1000, 1), ("q", 1000, 2)]
+
+
+def test_outcomes_and_dead_letters(spark, root):
+    log = reading.from_events(spark, SF)
+    slept, tries = [], []
+
+    def outcomes(df, _):
+        tries.append(df.count())
+        bad = F.when(F.col("event_type") == "error", "FAILURE").when(F.col("event_type") == "click", "RETRY").when(F.col("event_type") == "view", "SKIP").otherwise("SUCCESS")
+        return df.select("event_id", bad.alias("result"), F.when(F.col("event_type") == "error", "bad payload").otherwise("later").alias("error"))
+
+    def poisoned(df, _):
+        if not df.where("global_nonce in (7, 600)").isEmpty():
+            raise ValueError("x" * 900 + " poison")
+
+    c = runtime.Coordinator(spark, root, [runtime.Projection("p", outcomes), runtime.Projection("q", poisoned)], sleep=slept.append)
+    odd = log.where("global_nonce = 5").withColumn("event_id", F.lit(None).cast("string"))
+    c.run_batch(log.where("global_nonce <> 5").unionByName(odd), 0)
+    n = {r[0]: r[1] for r in log.where("global_nonce <> 5").groupBy("event_type").count().collect()}
+    letters = c.dead_letters()
+    assert letters.where("projection_name = 'p' and error = 'bad payload' and attempts = 1").count() == n["error"]
+    assert letters.where("projection_name = 'p' and error = 'later' and attempts = 3").count() == n["click"]
+    assert tries == [999, n["click"], n["click"]] and slept == [0.1, 0.2]
+    assert rows(letters.where("projection_name = 'q'").select("global_nonce", F.length("error"))) == [(600, 907), (7, 907)]
+    assert rows(letters.where("projection_name = '*'").select("global_nonce", "error")) == [(5, "malformed event")]
+    assert [s["failed"] for s in c.status()] == [n["error"] + n["click"], 2] and [s["position"] for s in c.status()] == [1000, 1000]
+
+    def hangs_up_once(df, _):
+        tries.append("t")
+        if tries.count("t") == 1:
+            raise OSError("socket hang up")
+
+    again = runtime.Coordinator(spark, f"{root}/2", [runtime.Projection("r", hangs_up_once)], sleep=slept.append)
+    again.run_table(log)
+    assert again.dead_letters().count() == 0 and slept[2:] == [0.1]
+    blocked = runtime.Coordinator(spark, f"{root}/3", [runtime.Projection("q", poisoned)], on_failure="block")
     with pytest.raises(ValueError):
-        runtime.Coordinator([runtime.Projection("p", fails)], on_failure="block").run_table(log)
+        blocked.run_table(log)
+    assert blocked.position("q") == 0
     with pytest.raises(ValueError):
-        runtime.Coordinator([runtime.Projection("p", fails), runtime.Projection("p", fails)])
+        runtime.Coordinator(spark, f"{root}/4", [runtime.Projection("p", poisoned), runtime.Projection("p", poisoned)])
+
+
+def test_projection_manager_and_keep_alive(spark, root):
+    seen = []
+
+    def fails(df, _):
+        raise ValueError("no")
+
+    m = runtime.ProjectionManager([runtime.Projection("a", fails), runtime.Projection("b", lambda df, _: seen.append(df.count()), ["purchase"])])
+    log = reading.from_events(spark, SF)
+    assert m.run(log) == {"a": ["no"]} and seen == [log.where("event_type = 'purchase'").count()]
+
+    told = []
+    alive = runtime.KeepAlive(lambda: told.append("live"), lambda: told.append("beat"))
+    files_ = _log_files(spark, root, 1)
+    spark.streams.addListener(alive)
+    q = runtime.subscribe(spark, f"{root}/log", files_.schema).writeStream.foreachBatch(lambda *_: None).option("checkpointLocation", f"{root}/ka").trigger(processingTime="200 milliseconds").start()
+    deadline = time.time() + 60
+    while alive.beats < 1 and time.time() < deadline:
+        time.sleep(0.2)
+    q.stop()
+    spark.streams.removeListener(alive)
+    assert told[0] == "live" and told.count("live") == 1 and "beat" in told
 
 
 def test_poller_cold_and_warm():
