@@ -6,6 +6,7 @@ graphs are derived from the same tables on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -15,6 +16,8 @@ from chronofold.functions import text, values
 from chronofold.operators import append, checkpoints, dlq, envelope, fold, graph, health, lineage, metrics, readmodel, rules, upcast
 from chronofold.plans import projections
 from chronofold.sources import log as reading
+from chronofold.sources.shared import shared_dir
+from chronofold.streaming import runtime
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -398,8 +401,11 @@ def _failed(spark, d):
     return dlq.mark(rows, e.where("amount % 2 = 0").select(F.col("event_id").alias("id")), dlq.RESOLVED, 2)
 
 
-@query(f", {FAILED} SELECT projection_name, count(*) FILTER (status = 'pending') AS pending, count(*) AS total, array_to_string(list_slice(list_sort(list(DISTINCT error)), 1, 5), ';') AS messages FROM f GROUP BY projection_name")
-def dlq_counts(spark, d):
+@query(f""", {FAILED}, o AS (SELECT *, row_number() OVER (PARTITION BY projection_name ORDER BY ts DESC, id) AS n FROM (SELECT f.*, log.ts FROM f JOIN log ON f.id = log.event_id) WHERE status = 'pending'),
+m AS (SELECT projection_name, string_agg(error, ';' ORDER BY n) AS messages FROM o WHERE n <= 5 GROUP BY projection_name)
+SELECT f.projection_name, count(*) FILTER (status = 'pending') AS pending, count(*) AS total, any_value(coalesce(messages, '')) AS messages FROM f LEFT JOIN m USING (projection_name) GROUP BY f.projection_name""")
+def dlq_newest(spark, d):
+    """Dead letters by projection, with the messages of the five newest pending ones."""
     return dlq.counts(_failed(spark, d)).withColumn("messages", F.array_join("messages", ";"))
 
 
@@ -541,20 +547,6 @@ def causation_lineage(spark, d):
     return lineage.parents(_caused(spark, d)).groupBy("parent_type", "event_type").agg(F.count("*").alias("n"))
 
 
-@query(
-    CAUSED
-    + """, d AS (SELECT event_id AS root, event_id AS id, 0 AS steps FROM c WHERE CAST(event_id AS BIGINT) < 20 UNION ALL SELECT d.root, c.event_id, d.steps + 1 FROM d JOIN c ON c.causation_id = d.id WHERE d.steps < 5)
-SELECT root, id, steps FROM d WHERE steps > 0"""
-)
-def causation_descendants(spark, d):
-    e = _caused(spark, d)
-    roots = e.where(F.col("event_id").cast("bigint") < 20).select(F.col("event_id").alias("id"))
-    return lineage.descendants(spark, e.where("causation_id is not null").select(F.col("causation_id").alias("parent"), F.col("event_id").alias("child")), roots, 5)
-
-
-SQL["causation_descendants"] = SQL["causation_descendants"].replace("WITH log", "WITH RECURSIVE log", 1)
-
-
 @query(
     CAUSED
     + """, d AS (SELECT event_id AS root, event_id AS id, 0 AS steps FROM c WHERE causation_id IS NULL UNION ALL SELECT d.root, c.event_id, d.steps + 1 FROM d JOIN c ON c.causation_id = d.id)
@@ -659,11 +651,6 @@ def _values(e):
     return e.select("event_id", values.backoff_ms(F.col("aggregate_nonce")).alias("delay_ms"), values.saturating_minus(F.col("global_nonce"), 500).alias("lag"), notice.alias("notice"), text.notice(notice)["tenant_id"].alias("notice_tenant"))
 
 
-@query("""SELECT event_id, CAST(least(30000.0, 100.0 * 2.0 ** (aggregate_nonce - 1)) AS BIGINT) AS delay_ms, greatest(0, global_nonce - 500) AS lag, tenant_id || ':' || CAST(global_nonce AS VARCHAR) AS notice, tenant_id AS notice_tenant FROM log WHERE aggregate_nonce <= 50""")
-def value_functions(spark, d):
-    return _values(_log(spark, d).where("aggregate_nonce <= 50"))
-
-
 @query("""SELECT event_id, CAST(least(30000.0, 100.0 * 2.0 ** least(aggregate_nonce - 1, 60)) AS BIGINT) AS delay_ms, greatest(0, global_nonce - 500) AS lag, tenant_id || ':' || CAST(global_nonce AS VARCHAR) AS notice, tenant_id AS notice_tenant FROM log""")
 def value_functions_all(spark, d):
     """The value functions over every event."""
@@ -716,14 +703,6 @@ def unprimed_sources(spark, d):
     return _table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(_table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")), "id", "left_anti")
 
 
-@query("""SELECT tenant_id, aggregate_id, aggregate_nonce, event_type, sum(CASE event_type WHEN 'purchase' THEN amount WHEN 'error' THEN -amount ELSE 0 END) OVER (PARTITION BY tenant_id, aggregate_id ORDER BY aggregate_nonce ROWS UNBOUNDED PRECEDING) AS state FROM log WHERE user_id < 10""")
-def step_by_step_replay(spark, d):
-    """State after each event of a few streams, by the general fold over prefixes."""
-    step = fold.dispatch({"purchase": lambda s, e: s + e["amount"], "error": lambda s, e: s - e["amount"]})
-    got = fold.history(_log(spark, d).where("user_id < 10"), projections.STREAM, "aggregate_nonce", ["event_type", "amount"], F.lit(0).cast("bigint"), step)
-    return got.select(*projections.STREAM, "aggregate_nonce", "event_type", "state")
-
-
 @query("""SELECT tenant_id, aggregate_id, aggregate_nonce, event_type, CAST(sum(CASE event_type WHEN 'purchase' THEN amount WHEN 'error' THEN -amount ELSE 0 END) OVER (PARTITION BY tenant_id, aggregate_id ORDER BY aggregate_nonce ROWS UNBOUNDED PRECEDING) AS BIGINT) AS state FROM log""")
 def replay_all_streams(spark, d):
     """State after each event of every stream, as a running sum."""
@@ -761,3 +740,147 @@ def scanned_components(spark, d):
 @query("""SELECT count(*) FILTER (n_regionkey IN (0, 2)) AS errors, 0 AS warnings, count(*) FILTER (n_regionkey IN (0, 2)) = 0 AS is_valid FROM nation""", log=False)
 def architecture_report(spark, d):
     return rules.report(rules.check(_tree(spark, d)))
+
+
+# The coordinator over a log: state in files, started anew for each batch
+
+
+def _root(spark):
+    return f"{shared_dir(spark)}/coordinator-{uuid.uuid4().hex}"
+
+
+@query("SELECT event_type, count(*) AS n FROM log WHERE event_type IN ('purchase', 'error', 'view') GROUP BY event_type")
+def coordinator_counts(spark, d):
+    """A projection that counts, fed in three batches by a coordinator that is started anew for each, one of them delivered twice."""
+    log, root = _log(spark, d), _root(spark)
+
+    def count(events, context):
+        events.groupBy("event_type").agg(F.count("*").alias("n")).write.parquet(f"{root}/counts/{uuid.uuid4().hex}")
+
+    third = log.agg(F.max("global_nonce")).first()[0] // 3
+    for i in (0, 1, 1, 2):
+        part = log.where((F.col("global_nonce") > i * third) & ((F.col("global_nonce") <= (i + 1) * third) | F.lit(i == 2)))
+        runtime.Coordinator(spark, root, [runtime.Projection("counts", count, ["purchase", "error", "view"])], boundary=third // 2).run_batch(part, i)
+    return spark.read.parquet(f"{root}/counts/*").groupBy("event_type").agg(F.sum("n").alias("n"))
+
+
+@query("""SELECT 'kept' AS projection_name, max(global_nonce) AS global_position, 1 AS version FROM log UNION ALL SELECT 'rebuilt', max(global_nonce), 1 FROM log
+UNION ALL SELECT 'changed', max(global_nonce), 2 FROM log""")
+def coordinator_checkpoints(spark, d):
+    """Checkpoints by name after a run, a rebuild of one projection, a change of another's version, and a second run."""
+    log, root = _log(spark, d), _root(spark)
+
+    def build(version):
+        return runtime.Coordinator(spark, root, [runtime.Projection(n, lambda *_: None, version=v) for n, v in (("kept", 1), ("rebuilt", 1), ("changed", version))])
+
+    first = build(1)
+    first.run_table(log)
+    first.rebuild("rebuilt")
+    again = build(2)
+    again.run_table(log)
+    return checkpoints.listing(again.checkpoints()).drop("updated_at")
+
+
+@query("""SELECT 'outcomes' AS projection_name, event_type, CASE event_type WHEN 'error' THEN 1 ELSE 3 END AS attempts, count(*) AS n FROM log WHERE event_type IN ('error', 'click') GROUP BY event_type""")
+def coordinator_dead_letters(spark, d):
+    """Outcomes by event: errors fail for good, clicks are tried three times, views are skipped."""
+    log, root = _log(spark, d), _root(spark)
+
+    def handle(events, _):
+        result = F.when(F.col("event_type") == "error", "FAILURE").when(F.col("event_type") == "click", "RETRY").when(F.col("event_type") == "view", "SKIP").otherwise("SUCCESS")
+        return events.select("event_id", result.alias("result"), F.lit("no such payload").alias("error"))
+
+    c = runtime.Coordinator(spark, root, [runtime.Projection("outcomes", handle)], sleep=lambda _: None)
+    c.run_table(log)
+    return c.dead_letters().groupBy("projection_name", "event_type", "attempts").agg(F.count("*").alias("n"))
+
+
+@query("SELECT aggregate_id AS key FROM log WHERE event_type = 'signup' AND global_nonce > 0 GROUP BY aggregate_id")
+def process_manager_items(spark, d):
+    """What a process manager has to do: an item a user who signed up, found in two batches by managers started anew; nothing is acted on."""
+    log, root = _log(spark, d), _root(spark)
+    half = log.agg(F.max("global_nonce")).first()[0] // 2
+    for part in (log.where(F.col("global_nonce") <= half), log):
+        manager = runtime.ProcessManager("greetings", lambda e: e.where("event_type = 'signup'").select(F.col("aggregate_id").alias("key")), print, spark, root)
+        runtime.Coordinator(spark, root, [], [manager], boundary=1 << 62).run_batch(part, 0)
+    return manager.pending()
+
+
+@query("""SELECT event_id AS request_id, CASE WHEN user_id % 3 = 0 THEN 'PermissionDenied' WHEN user_id % 3 = 1 THEN 'DuplicateEvent'
+  WHEN row_number() OVER (PARTITION BY user_id ORDER BY event_id) > 1 THEN 'Concurrency' ELSE 'ok' END AS status FROM log""")
+def append_refusals(spark, d):
+    """A request an event: to a stranger's tenant, with an id that the log has, or right; of right ones for a stream the first goes in."""
+    log = _log(spark, d)
+    own = F.when(F.col("user_id") % 3 == 0, "stranger").otherwise(F.lit(""))
+    known = F.when(F.col("user_id") % 3 == 1, F.col("event_id")).otherwise(F.concat(F.lit("new-"), "event_id"))
+    head = append.heads_of(log).select("aggregate_id", "head")
+    none, empty = F.lit(""), F.lit(None)
+    event = F.struct(
+        own.alias("tenant_id"), none.alias("aggregate_id"), none.alias("aggregate_type"), (F.col("head") + 1).alias("aggregate_nonce"), known.alias("event_id"), "event_type", F.lit(1).alias("event_version"),
+        *(none.alias(c) for c in ("content_type", "content_schema", "correlation_id", "causation_id", "actor_id")), *(F.lit(0).cast("bigint").alias(c) for c in ("timestamp_unix_ms", "recorded_time_unix_ms")),
+        empty.cast("binary").alias("payload_sha256"), empty.cast("map<string,string>").alias("headers"), F.col("payload").cast("binary").alias("payload"),
+    )
+    requests = log.join(head, "aggregate_id").select(F.col("event_id").alias("request_id"), "tenant_id", "aggregate_id", "aggregate_type", F.col("head").alias("expected"), none.alias("idempotency_key"), F.array(event).alias("events"))
+    ledger = spark.createDataFrame([], "tenant_id string, aggregate_id string, idempotency_key string, fingerprint string, last_nonce bigint")
+    return append.outcomes(append.validate(requests, append.heads_of(log), ledger, log.select("tenant_id", "event_id"))).select("request_id", "status")
+
+
+@query(HEALTH + """ SELECT 'es_events_appended_total' AS name, event_type AS label, CAST(count(*) AS DOUBLE) AS value FROM log GROUP BY event_type
+UNION ALL SELECT 'es_projection_lag_events', projection_name, CAST(lag AS DOUBLE) FROM hs UNION ALL SELECT 'es_dlq_size', projection_name, CAST(failed AS DOUBLE) FROM hs
+UNION ALL SELECT 'es_projection_errors_total', projection_name, CAST(count(*) AS DOUBLE) FROM f GROUP BY projection_name
+UNION ALL SELECT 'es_retries_total', projection_name, CAST(sum(amount % 3) AS DOUBLE) FROM f GROUP BY projection_name
+UNION ALL SELECT 'es_projection_events_processed_total', projection_name, CAST(count(*) AS DOUBLE) FROM reg JOIN log ON list_contains(types, event_type) GROUP BY projection_name""")
+def es_metrics(spark, d):
+    """The standard counters and gauges of a log, its projections and their dead letters."""
+    e = _log(spark, d).where("event_type = 'error'")
+    failed = e.select(F.when(F.col("user_id") % 3 == 0, "accounts").otherwise("views").alias("projection_name"), (F.col("amount") % 3 + 1).alias("attempts"))
+    types = _registered(spark).select("projection_name", F.explode("types").alias("event_type"))
+    log = reading.without_nonce(spark, d)
+    got = metrics.standard(log, _health(spark, d), failed, log.join(F.broadcast(types), "event_type"))
+    return got.select("name", F.element_at(F.map_values("labels"), 1).alias("label"), "value")
+
+
+@query("""SELECT '# HELP es_command_duration_seconds Time of a command' AS line UNION ALL SELECT '# TYPE es_command_duration_seconds histogram'
+UNION ALL SELECT 'es_command_duration_seconds_bucket{type="' || event_type || '",le="' || le || '"} ' || (SELECT count(*) FROM log l WHERE l.event_type = t.event_type AND (bound IS NULL OR l.amount <= bound))
+  FROM (SELECT DISTINCT event_type FROM log) t CROSS JOIN (VALUES ('1000.0', 1000), ('5000.0', 5000), ('+Inf', NULL)) b(le, bound)
+UNION ALL SELECT 'es_command_duration_seconds_count{type="' || event_type || '"} ' || count(*) FROM log GROUP BY event_type
+UNION ALL SELECT 'es_command_duration_seconds_sum{type="' || event_type || '"} ' || sum(amount) FROM log GROUP BY event_type""")
+def histogram_lines(spark, d):
+    """A histogram in the text form: HELP, TYPE, buckets, sum and count."""
+    name = "es_command_duration_seconds"
+    h = metrics.histogram(reading.without_nonce(spark, d), F.col("amount"), ["event_type"], (1000.0, 5000.0))
+    top = spark.createDataFrame([(name, "Time of a command", metrics.NAMES[name])], "name string, help string, type string")
+    return metrics.headers(top).union(metrics.histogram_exposition(h, name, F.create_map(F.lit("type"), F.col("event_type"))))
+
+
+#: A tree of two contexts that violates every rule, one nation's name at the front of each; the codes each file has.
+VIOLATING = [
+    ("A/slices/pay/PayCommand.ts", "export class PayCommand {}", "001 002 003 020"), ("A/slices/pay/sub/one/two/three/Deep.ts", "x", "005"), ("A/slices/get/getQuery.ts", "export class GetQuery {}", "001 004 007 008"),
+    ("A/slices/list/ListProjection.ts", "import axios from 'axios'\nimport { X } from '../pay/PayCommand'\nexport class ListProjection {}", "009 010 032"), ("A/slices/list/ListController.ts", "\n" * 60, "001 011"),
+    ("A/slices/list/Reach.ts", "import { Db } from '../../infrastructure/Db'", "031 206"), ("A/PayCommandHandler.ts", "export class PayCommandHandler {}", "015"), ("A/PaidEvent.ts", "export class PaidEvent {}", "021"),
+    ("A/PayAggregate.ts", "export class PayAggregate {}", "022"), ("A/StorePort.ts", "export interface StorePort {}", "023"), ("A/CommandBus.ts", "export class CommandBus {}", "024 200 205"),
+    ("A/ports/Mailer.ts", "import { Db } from '../infrastructure/Db'\nexport interface Mailer {}", "025 029 206"), ("A/domain/value-objects/Money.ts", "export class Money {}", "026"),
+    ("A/domain/CartAggregate.ts", "import { S } from '../application/S'\nexport class CartAggregate {}", "027 027 206"), ("A/domain/events/ShippedEvent.ts", "export class ShippedEvent {}", ""), ("A/events/E.ts", "import { C } from '../domain/C'", "028 206"),
+    ("A/application/S.ts", "import { Db } from '../infrastructure/Db'", "030 206"), ("A/infrastructure/Db.ts", "export class Db {}", ""), ("A/ShipProcessManager.ts", "export class ShipProcessManager {}", "033"),
+    ("A/OutIntegrationEvent.ts", "export class OutIntegrationEvent {}", "021 101"), ("A/integration-events/AOdd.ts", "export class Odd_A {}", "102"), ("B/integration-events/BOdd.ts", "export class B_Odd {}", "102"),
+    ("B/Use.ts", "import { C } from '../A/domain/CartAggregate'", "200 201 203 204 205"), ("A/Use.ts", "import { C } from '../B/Use'", "201"),
+]
+
+
+def _violating(spark, d):
+    """VIOLATING once for each nation: A is the context a<key>, B is b<key>."""
+    rows = spark.createDataFrame([(p, t) for p, t, _ in VIOLATING], "p string, t string")
+    n = _table(spark, d, "nation").select(F.col("n_nationkey").cast("string").alias("k"))
+
+    def named(c):
+        a = F.regexp_replace(F.regexp_replace(c, r"(^|\.\./)A/", F.concat(F.lit("$1a"), "k", F.lit("/"))), r"(^|\.\./)B/", F.concat(F.lit("$1b"), "k", F.lit("/")))
+        return a
+
+    return n.join(F.broadcast(rows)).select(F.concat(F.lit("contexts/"), named(F.col("p"))).alias("path"), named(F.col("t")).alias("text"))
+
+
+@query("WITH v(code) AS (VALUES " + ", ".join(f"('VSA{c}')" for _, _, codes in VIOLATING for c in codes.split()) + """)
+SELECT code, count(*) AS n FROM v CROSS JOIN nation GROUP BY code UNION ALL SELECT 'VSA202', 1 UNION ALL SELECT 'VSA100', 2""", log=False)
+def rule_codes(spark, d):
+    """How often each rule is violated by a tree in which a nation has two contexts that violate most; two names are in all of them."""
+    return rules.check_codes(_violating(spark, d)).groupBy("code").agg(F.count("*").alias("n"))
