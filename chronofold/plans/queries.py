@@ -703,6 +703,14 @@ def unprimed_sources(spark, d):
     return _table(spark, d, "customer").select(F.col("c_custkey").alias("id")).join(_table(spark, d, "orders").where("o_orderstatus = 'F'").select(F.col("o_custkey").alias("id")), "id", "left_anti")
 
 
+@query("""SELECT tenant_id, aggregate_id, aggregate_nonce, event_type, CAST(sum(CASE event_type WHEN 'purchase' THEN amount WHEN 'error' THEN -amount ELSE 0 END) OVER (PARTITION BY tenant_id, aggregate_id ORDER BY aggregate_nonce ROWS UNBOUNDED PRECEDING) AS BIGINT) AS state FROM log""")
+def step_by_step_replay(spark, d):
+    """State after each event of every stream, by the general fold, one a stream."""
+    step = fold.dispatch({"purchase": lambda s, e: s + e["amount"], "error": lambda s, e: s - e["amount"]})
+    got = fold.history(_log(spark, d), projections.STREAM, "aggregate_nonce", ["event_type", "amount"], F.lit(0).cast("bigint"), step)
+    return got.select(*projections.STREAM, "aggregate_nonce", "event_type", "state")
+
+
 @query("""SELECT tenant_id, aggregate_id, aggregate_nonce, event_type, CAST(sum(CASE event_type WHEN 'purchase' THEN amount WHEN 'error' THEN -amount ELSE 0 END) OVER (PARTITION BY tenant_id, aggregate_id ORDER BY aggregate_nonce ROWS UNBOUNDED PRECEDING) AS BIGINT) AS state FROM log""")
 def replay_all_streams(spark, d):
     """State after each event of every stream, as a running sum."""
