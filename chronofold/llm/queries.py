@@ -44,6 +44,17 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.remove_repeats(_table(spark, sf_dir, "documents"), texts=False)
 
 
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT r, i, md5(array_to_string(w[i:i + 34], ' ')) AS h FROM (SELECT r, w, unnest(range(1, len(w) - 33)) AS i FROM d)),
+dup AS (SELECT h FROM p GROUP BY h HAVING count(*) > 1),
+gone AS (SELECT DISTINCT r, unnest(range(i, i + 35)) AS pos FROM p JOIN dup USING (h)),
+every_word AS (SELECT r, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS pos FROM d),
+kept AS (SELECT r, string_agg(word, ' ' ORDER BY pos) AS t, count(*) AS n FROM every_word ANTI JOIN gone USING (r, pos) GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept USING (r)
+"""
+
+
 def op6_token_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four batches over all documents, one of them delivered twice.
 
@@ -112,4 +123,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_token_rollup": OP6_SQL, "op7_hamming_topk": OP7_SQL}
+    return {"op5_substring_dedup": OP5_SQL, "op6_token_rollup": OP6_SQL, "op7_hamming_topk": OP7_SQL}
