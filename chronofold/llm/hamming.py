@@ -1,14 +1,20 @@
 """Exact top-k search for binary codes by incremental multi-index hashing.
 
-A code of 64 bits has four segments of 16. If two codes differ in at most 4 r + 3 bits, one segment
-of them differs in at most r. So an index by segment value is probed at segment radius 0, 1, 2, ...;
-each candidate is verified by its full Hamming distance; and once the k-th distance found is at most
-4 r + 3, no code outside can come before it. Nothing is approximate.
-
-Equal codes are one entry with its k + 1 smallest ids, enough for any top k with ties by id and
-without the query itself; so a code that a third of all rows have is one entry. Entries are dealt
-to shards, distinct query codes to blocks, and each (block, shard) is searched on its own, in
-bounded memory; the k + 1 best of each shard are merged by a ranked window.
+A code of 64 bits is cut into m segments of about log2(n) bits, n being the number of different
+codes, so that a value of a segment has a few codes however many there are. If two codes differ in
+at most m (r + 1) - 1 bits, one segment of them differs in at most r. So one index by (segment,
+value) over all codes is probed at segment radius 0, 1, 2, ...; each candidate is verified by its
+full Hamming distance; and once the k-th distance found is at most m (r + 1) - 1, no code outside
+can come before it and the query is done. Nothing is approximate.
+
+The index is distributed: a bucket holds the values of a segment that share their first bits, about
+SHARD codes. At each radius a query that is not done goes only to buckets that can hold a value that
+far from its own, at most QUERIES of them in a group; a bucket of far more codes (a value that many
+codes share) is searched in parts. What the groups find is merged into the best of each query by a
+ranked window, which tells who is done.
+
+Equal codes are one entry with its number of rows and smallest id, so a code that a third of all
+rows have is one entry; ids are joined to what was found at the end.
 """
 
 from __future__ import annotations
@@ -16,6 +22,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pyarrow as pa
@@ -24,9 +31,10 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import common
 
-#: Entries of a shard, query codes of a block, neighbours.
-SHARD, QUERIES, K = 16384, 512, 10
-SEGMENTS, BITS = 4, 16
+#: Codes of a bucket (a group has at most twice as many, but for chance), query codes of a group, neighbours.
+SHARD, QUERIES, K = 65536, 1024, 10
+#: Bits of a segment's value that a group indexes directly.
+DENSE = 20
 
 
 def sign_code(vector: Column) -> Column:
@@ -35,89 +43,97 @@ def sign_code(vector: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda a, b: a.bitwiseOR(b))
 
 
-@lru_cache(32)
-def _masks(radius: int) -> np.ndarray:
-    """All 16-bit values with `radius` bits set."""
-    return np.array([sum(1 << i for i in c) for c in combinations(range(BITS), radius)], np.int64)
+def cuts(n: int) -> list[tuple[int, int]]:
+    """The segments, as first bit and number of bits, for n codes: about log2(n) bits each, 8 at least and 32 at most."""
+    m = min(8, max(2, round(64 / np.log2(max(n, 2)))))
+    widths = [64 // m + (s < 64 % m) for s in range(m)]
+    return [(sum(widths[:s]), w) for s, w in enumerate(widths)]
 
 
-class SegmentIndex:
-    """Codes by the value of each segment."""
+@lru_cache(64)
+def _masks(bits: int, radius: int) -> np.ndarray:
+    """All values of so many bits with `radius` of them set."""
+    return np.array([sum(1 << i for i in c) for c in combinations(range(bits), radius)], np.int64)
 
-    def __init__(self, codes: np.ndarray) -> None:
-        self.codes = codes
-        self.order, self.start = [], []
-        for s in range(SEGMENTS):
-            value = self.segment(codes, s)
-            self.order.append(np.argsort(value, kind="stable"))
-            self.start.append(np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << BITS))]))
-        self.there = [np.flatnonzero(np.diff(x)) for x in self.start]
 
-    @staticmethod
-    def segment(codes: np.ndarray, s: int) -> np.ndarray:
-        return ((codes >> np.uint64(BITS * s)) & np.uint64((1 << BITS) - 1)).astype(np.int64)
+def segment(codes: np.ndarray, cut: tuple[int, int]) -> np.ndarray:
+    return ((codes >> np.uint64(cut[0])) & np.uint64((1 << cut[1]) - 1)).astype(np.int64)
 
-    def at(self, code: np.uint64, s: int, radius: int) -> np.ndarray:
-        """Positions of codes whose segment s is exactly `radius` away, by probing or, if that is less, by going over the values there are."""
-        value, start = int(code >> np.uint64(BITS * s)) & (1 << BITS) - 1, self.start[s]
-        masks = _masks(radius)
-        if len(masks) < len(self.there[s]):
-            values = value ^ masks
+
+class Bucket:
+    """Codes by the value of segment s, whose first `prefix` bits are the same for all."""
+
+    def __init__(self, codes: np.ndarray, cut: list[tuple[int, int]], s: int, prefix: int) -> None:
+        self.codes, self.cut, self.s, self.low = codes, cut, s, cut[s][1] - prefix
+        value = segment(codes, cut[s])
+        self.prefix, value = int(value[0]) >> self.low, value & (1 << self.low) - 1
+        self.order = np.argsort(value, kind="stable")
+        self.start = np.concatenate([[0], np.cumsum(np.bincount(value, minlength=1 << self.low))])
+        self.there = np.flatnonzero(np.diff(self.start))
+
+    def at(self, code: np.uint64, radius: int) -> np.ndarray:
+        """Positions of codes whose segment is exactly `radius` away, by probing or, if that is less, by going over the values there are."""
+        value, start = int(segment(code, self.cut[self.s])), self.start
+        radius -= (value >> self.low ^ self.prefix).bit_count()
+        value &= (1 << self.low) - 1
+        if not 0 <= radius <= self.low:
+            return self.order[:0]
+        if comb(self.low, radius) < len(self.there):
+            values = value ^ _masks(self.low, radius)
             values = values[start[values] < start[values + 1]]
         else:
-            values = self.there[s][np.bitwise_count(self.there[s] ^ value) == radius]
-        if not len(values):
-            return values
+            values = self.there[np.bitwise_count(self.there ^ value) == radius]
         n = start[values + 1] - start[values]
-        first = np.repeat(start[values] - np.concatenate([[0], np.cumsum(n)[:-1]]), n)
-        return self.order[s][first + np.arange(n.sum())]
-
-    def search(self, code: np.uint64, weight: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions and distances that hold every code among the k nearest rows; weight: rows of each code."""
-        found, distance, tally = [], [], np.zeros(SEGMENTS * BITS + 1, np.int64)
-        for radius in range(BITS + 1):
-            for s in range(SEGMENTS):
-                got = self.at(code, s, radius)
-                differ = self.codes[got] ^ code
-                new = np.ones(len(got), bool)
-                for t in range(SEGMENTS):  # found before: by an earlier segment at this radius, or any at a smaller one
-                    if t != s:
-                        away = np.bitwise_count(self.segment(differ, t))
-                        new &= (away >= radius) if t > s else (away > radius)
-                got, d = got[new], np.bitwise_count(differ[new]).astype(np.int64)
-                found.append(got)
-                distance.append(d)
-                tally += np.bincount(d, weights=weight[got], minlength=len(tally)).astype(np.int64)
-            if tally[: SEGMENTS * (radius + 1)].sum() >= k:  # the k-th distance is covered
-                break
-        where, d = np.concatenate(found), np.concatenate(distance)
-        last = int(np.searchsorted(np.cumsum(tally), k)) if tally.sum() >= k else len(tally)
-        return where[d <= last], d[d <= last]
-
-
-def _search_blocks(groups: DataFrame, k: int) -> DataFrame:
+        first = np.repeat(start[values] - np.cumsum(n) + n, n)
+        return self.order[first + np.arange(n.sum())]
+
+    def search(self, code: np.uint64, radius: int, first: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        """Positions and distances of the k best codes at this radius of the segment that no other segment finds before."""
+        got = self.at(code, radius)
+        differ = self.codes[got] ^ code
+        new = np.ones(len(got), bool)
+        for t, cut in enumerate(self.cut):  # found before: by an earlier segment at this radius, or any at a smaller one
+            if t != self.s:
+                away = np.bitwise_count(segment(differ, cut))
+                new &= (away >= radius) if t > self.s else (away > radius)
+        got, distance = got[new], np.bitwise_count(differ[new]).astype(np.int64)
+        if len(got) > k:
+            near = distance <= np.searchsorted(np.cumsum(np.bincount(distance)), k)
+            got, distance = got[near], distance[near]
+        best = np.lexsort((first[got], distance))[:k]
+        return got[best], distance[best]
+
+
+def _probed(groups: DataFrame, radius: int, cut: list[tuple[int, int]], prefix: int, k: int) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for queries, entries in zip(b.column("queries"), b.column("entries"), strict=True):
+            for s, queries, entries in zip(b.column("s"), b.column("queries"), b.column("entries"), strict=True):
                 if not len(queries.values) or not len(entries.values):
                     continue
-                code = entries.values.field("code").to_numpy(zero_copy_only=False).view(np.uint64)
-                ids = entries.values.field("ids")
-                ends, flat = ids.value_lengths().to_numpy().astype(np.int64), ids.flatten().to_numpy(zero_copy_only=False)
-                start = np.concatenate([[0], np.cumsum(ends)])
-                index = SegmentIndex(code)
-                out: list[tuple[np.ndarray, ...]] = []
-                for q in queries.values.to_numpy(zero_copy_only=False).view(np.uint64):
-                    where, distance = index.search(q, ends, k)
-                    n = ends[where]
-                    rows = flat[np.repeat(start[where] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())]
-                    away = np.repeat(distance, n)
-                    best = np.lexsort((rows, away))[:k]
-                    out.append((np.full(len(best), q), rows[best], away[best]))
-                columns = [np.concatenate(x) for x in zip(*out, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(columns[0].view(np.int64)), pa.array(columns[1]), pa.array(columns[2].astype(np.int32))], names=["code", "id", "distance"])
-
-    return groups.mapInArrow(each, "code bigint, id bigint, distance int")
+                code, first, n = (entries.values.field(x).to_numpy(zero_copy_only=False) for x in ("code", "first", "n"))
+                bucket = Bucket(code.view(np.uint64), cut, s.as_py(), prefix)
+                asked = queries.values.to_numpy(zero_copy_only=False)
+                got = [bucket.search(q, radius, first, k) for q in asked.view(np.uint64)]
+                where = np.concatenate([w for w, _ in got])
+                columns = [np.repeat(asked, [len(w) for w, _ in got]), code[where], first[where], n[where], np.concatenate([d for _, d in got]).astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["code", "found", "first", "n", "distance"])
+
+    return groups.mapInArrow(each, "code bigint, found bigint, first bigint, n bigint, distance int")
+
+
+def _placed(codes: DataFrame, cut: list[tuple[int, int]], prefix: int) -> DataFrame:
+    """The rows once for each segment s, with the first bits of its value as `bucket`."""
+    part = F.array(*(F.struct(F.lit(s).alias("s"), F.expr(f"cast(shiftrightunsigned(code, {at + w - prefix}) & {(1 << prefix) - 1}L as int)" if prefix else "0").alias("bucket")) for s, (at, w) in enumerate(cut)))
+    return codes.withColumn("at", F.explode(part)).select("*", "at.*").drop("at")
+
+
+def _reached(placed: DataFrame, prefix: int, radius: int) -> DataFrame:
+    """Queries at every bucket whose first bits are at most `radius` from their own."""
+    if sum(comb(prefix, r) for r in range(radius + 1)) <= 4096:
+        flips = F.lit([int(x) for r in range(min(radius, prefix) + 1) for x in _masks(prefix, r)])
+    else:
+        flips = F.expr(f"filter(sequence(0, {(1 << prefix) - 1}), x -> bit_count(x) <= {radius})")
+    return placed.withColumn("flip", F.explode(flips)).withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("flip").cast("int"))).drop("flip")
 
 
 def top_k(rows: DataFrame, is_query: Column, k: int = K, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
@@ -128,18 +144,44 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, shard: int = SHARD, blo
     each code it has.
     """
     rows = common.written(rows.select("id", "code", is_query.alias("q")).where("id is not null and code is not null").distinct(), "codes")
+    entries = common.written(rows.groupBy("code").agg(F.min("id").alias("first"), F.count("*").alias("n"), F.max("q").alias("q")), "entries")
+    different, there = entries.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    need, cut = min(k + 1, there), cuts(different)
+    widest = cut[0][1]
+    prefix = min(cut[-1][1], max(0, int(np.ceil(np.log2(max(different, 1) / shard))), widest - DENSE))
+    index = common.written(_placed(entries.select("code", "first", "n"), cut, prefix), "index")
+    buckets = index.groupBy("s", "bucket").agg(F.ceil(F.count("*") / (2 * shard)).cast("int").alias("parts"))
+    buckets = common.written(buckets, "buckets")
+    left, best, done = entries.where("q").select("code"), None, []
+    by_code = Window.partitionBy("code")
+    for radius in range(widest + 1):
+        asked = common.written(_reached(_placed(left, cut, prefix), prefix, radius).join(buckets, ["s", "bucket"]), "asked")
+        if asked.isEmpty():
+            break
+        sizes = common.written(asked.groupBy("s", "bucket", "parts").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "groups")
+        none = F.lit(None).cast("struct<code:bigint,first:bigint,n:bigint>")
+        queries = asked.join(sizes.drop("parts"), ["s", "bucket"]).withColumn("b", F.expr("pmod(xxhash64(code, 1), blocks)").cast("int"))
+        queries = queries.select("s", "bucket", F.explode(F.expr("sequence(0, parts - 1)")).alias("p"), "b", F.col("code").alias("c"), none.alias("e"))
+        held = index.join(sizes, ["s", "bucket"]).withColumn("p", F.expr("pmod(xxhash64(code), parts)").cast("int"))
+        held = held.select("s", "bucket", "p", F.explode(F.expr("sequence(0, blocks - 1)")).alias("b"), F.lit(None).cast("bigint").alias("c"), F.struct("code", "first", "n").alias("e"))
+        groups = queries.union(held).groupBy("s", "bucket", "p", "b").agg(F.collect_list("c").alias("queries"), F.collect_list("e").alias("entries"))
+        found = _probed(groups.select("s", "queries", "entries"), radius, cut, prefix, k + 1)
+        found = found if best is None else found.union(best)
+        found = found.withColumn("rank", F.row_number().over(by_code.orderBy("distance", "first"))).where(F.col("rank") <= k + 1).drop("rank")
+        covered = F.sum(F.when(F.col("distance") < len(cut) * (radius + 1), F.col("n"))).over(by_code)
+        found = common.written(found.withColumn("done", F.coalesce(covered >= need, F.lit(False))), "found")
+        done.append(found.where("done").drop("done"))
+        best = found.where("not done").drop("done")
+        left = common.written(left.join(done[-1].select("code").distinct(), "code", "left_anti"), "left")
+    if not done:
+        return rows.limit(0).select(F.col("id").alias("query_id"), F.lit(0).alias("rank"), "id", F.lit(0).alias("distance"))
+    near = done[0]
+    for more in done[1:]:
+        near = near.union(more)
     smallest = rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k + 1)
-    entries = common.written(smallest.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "entries")
-    queries = rows.where("q").select("code").distinct()
-    shards, blocks = max(1, -(-entries.count() // shard)), max(1, -(-queries.count() // block))
-    own = F.pmod(F.xxhash64("code"), F.lit(shards)).cast("int")
-    left = entries.select(own.alias("s"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("b"), F.struct("code", "ids").alias("e"), F.lit(None).cast("bigint").alias("c"))
-    own = F.pmod(F.xxhash64("code", F.lit(1)), F.lit(blocks)).cast("int")
-    right = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("s"), own.alias("b"), F.lit(None).cast(left.schema["e"].dataType).alias("e"), F.col("code").alias("c"))
-    groups = left.union(right).groupBy("s", "b").agg(F.collect_list("c").alias("queries"), F.collect_list("e").alias("entries"))
-    near = _search_blocks(groups.select("queries", "entries"), k + 1)
-    best = near.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("distance", "id"))).where(F.col("n") <= k + 1)
-    best = best.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("near"))
-    asked = rows.where("q").select(F.col("id").alias("query_id"), "code").join(best, "code")
+    near = near.select("code", "found", "distance").join(smallest.select(F.col("code").alias("found"), "id"), "found")
+    near = near.withColumn("n", F.row_number().over(by_code.orderBy("distance", "id"))).where(F.col("n") <= k + 1)
+    near = near.groupBy("code").agg(F.sort_array(F.collect_list(F.struct("distance", "id"))).alias("near"))
+    asked = rows.where("q").select(F.col("id").alias("query_id"), "code").join(near, "code")
     others = F.slice(F.filter("near", lambda x: x["id"] != F.col("query_id")), 1, k)
     return asked.select("query_id", F.posexplode(others).alias("rank", "x")).select("query_id", (F.col("rank") + 1).alias("rank"), "x.id", "x.distance")
