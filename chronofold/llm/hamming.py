@@ -9,9 +9,9 @@ can come before it and the query is done. Nothing is approximate.
 
 The index is distributed: a bucket holds the values of a segment that share their first bits, about
 SHARD codes. At each radius a query that is not done goes only to buckets that can hold a value that
-far from its own, at most QUERIES of them in a group; a bucket of far more codes (a value that many
-codes share) is searched in parts. What the groups find is merged into the best of each query by a
-ranked window, which tells who is done.
+far from its own, and streams past them; a bucket of far more codes (a value that many codes share)
+is searched in parts. What they find is merged into the best of each query by a ranked window, which
+tells who is done.
 
 Equal codes are one entry with its number of rows and smallest id, so a code that a third of all
 rows have is one entry; ids are joined to what was found at the end.
@@ -31,9 +31,9 @@ from pyspark.sql import functions as F
 
 from chronofold.llm import common
 
-#: Codes of a bucket (a group has at most twice as many, but for chance), query codes of a group, neighbours.
-SHARD, QUERIES, K = 65536, 1024, 10
-#: Bits of a segment's value that a group indexes directly.
+#: Codes of a bucket (a part of it has at most twice as many, but for chance), neighbours.
+SHARD, K = 32768, 10
+#: Bits of a segment's value that a bucket indexes directly.
 DENSE = 20
 
 
@@ -104,21 +104,34 @@ class Bucket:
         return got[best], distance[best]
 
 
-def _probed(groups: DataFrame, radius: int, cut: list[tuple[int, int]], prefix: int, k: int) -> DataFrame:
+def _probed(sorted_rows: DataFrame, radius: int, cut: list[tuple[int, int]], prefix: int, k: int) -> DataFrame:
+    """Best codes at this radius for the queries of each bucket part. In a partition a part's entries come first and are indexed; its queries stream past, any number of them."""
+
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, bucket, first, n = None, [], None, None, None
         for b in batches:
-            for s, queries, entries in zip(b.column("s"), b.column("queries"), b.column("entries"), strict=True):
-                if not len(queries.values) or not len(entries.values):
+            keys = np.stack([b.column(x).to_numpy() for x in ("s", "bucket", "p", "asks")], axis=1)
+            columns = [b.column(x).to_numpy() for x in ("code", "first", "n")]
+            edges = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist(), len(keys)]
+            for i, j in zip(edges, edges[1:]):
+                if i == j:
                     continue
-                code, first, n = (entries.values.field(x).to_numpy(zero_copy_only=False) for x in ("code", "first", "n"))
-                bucket = Bucket(code.view(np.uint64), cut, s.as_py(), prefix)
-                asked = queries.values.to_numpy(zero_copy_only=False)
-                got = [bucket.search(q, radius, first, k) for q in asked.view(np.uint64)]
-                where = np.concatenate([w for w, _ in got])
-                columns = [np.repeat(asked, [len(w) for w, _ in got]), code[where], first[where], n[where], np.concatenate([d for _, d in got]).astype(np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["code", "found", "first", "n", "distance"])
-
-    return groups.mapInArrow(each, "code bigint, found bigint, first bigint, n bigint, distance int")
+                *key, asks = keys[i].tolist()
+                if key != at:
+                    at, held, bucket = key, [], None
+                if not asks:
+                    held.append([x[i:j].copy() for x in columns])
+                elif held:
+                    if bucket is None:
+                        code, first, n = (np.concatenate(x) for x in zip(*held))
+                        bucket = Bucket(code.view(np.uint64), cut, key[0], prefix)
+                    asked = columns[0][i:j]
+                    got = [bucket.search(q, radius, first, k) for q in asked.view(np.uint64)]
+                    where = np.concatenate([w for w, _ in got])
+                    out = [np.repeat(asked, [len(w) for w, _ in got]), code[where], first[where], n[where], np.concatenate([d for _, d in got]).astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], names=["code", "found", "first", "n", "distance"])
+
+    return sorted_rows.mapInArrow(each, "code bigint, found bigint, first bigint, n bigint, distance int")
 
 
 def _placed(codes: DataFrame, cut: list[tuple[int, int]], prefix: int) -> DataFrame:
@@ -136,7 +149,7 @@ def _reached(placed: DataFrame, prefix: int, radius: int) -> DataFrame:
     return placed.withColumn("flip", F.explode(flips)).withColumn("bucket", F.col("bucket").bitwiseXOR(F.col("flip").cast("int"))).drop("flip")
 
 
-def top_k(rows: DataFrame, is_query: Column, k: int = K, shard: int = SHARD, block: int = QUERIES) -> DataFrame:
+def top_k(rows: DataFrame, is_query: Column, k: int = K, shard: int = SHARD) -> DataFrame:
     """For each query row the k nearest other rows: query_id, rank (from 1), id, distance; ties by id.
 
     rows: id (bigint, unique) and code (bigint). Rows with a null id or code are neither found nor
@@ -152,20 +165,20 @@ def top_k(rows: DataFrame, is_query: Column, k: int = K, shard: int = SHARD, blo
     index = common.written(_placed(entries.select("code", "first", "n"), cut, prefix), "index")
     buckets = index.groupBy("s", "bucket").agg(F.ceil(F.count("*") / (2 * shard)).cast("int").alias("parts"))
     buckets = common.written(buckets, "buckets")
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # told, as a few bucket parts are much work though small by bytes
     left, best, done = entries.where("q").select("code"), None, []
     by_code = Window.partitionBy("code")
     for radius in range(widest + 1):
         asked = common.written(_reached(_placed(left, cut, prefix), prefix, radius).join(buckets, ["s", "bucket"]), "asked")
         if asked.isEmpty():
             break
-        sizes = common.written(asked.groupBy("s", "bucket", "parts").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "groups")
-        none = F.lit(None).cast("struct<code:bigint,first:bigint,n:bigint>")
-        queries = asked.join(sizes.drop("parts"), ["s", "bucket"]).withColumn("b", F.expr("pmod(xxhash64(code, 1), blocks)").cast("int"))
-        queries = queries.select("s", "bucket", F.explode(F.expr("sequence(0, parts - 1)")).alias("p"), "b", F.col("code").alias("c"), none.alias("e"))
-        held = index.join(sizes, ["s", "bucket"]).withColumn("p", F.expr("pmod(xxhash64(code), parts)").cast("int"))
-        held = held.select("s", "bucket", "p", F.explode(F.expr("sequence(0, blocks - 1)")).alias("b"), F.lit(None).cast("bigint").alias("c"), F.struct("code", "first", "n").alias("e"))
-        groups = queries.union(held).groupBy("s", "bucket", "p", "b").agg(F.collect_list("c").alias("queries"), F.collect_list("e").alias("entries"))
-        found = _probed(groups.select("s", "queries", "entries"), radius, cut, prefix, k + 1)
+        zero = F.lit(0).cast("bigint")
+        parts = F.explode(F.expr("sequence(0, parts - 1)"))
+        queries = asked.select("s", "bucket", parts.alias("p"), F.lit(1).alias("asks"), "code", zero.alias("first"), zero.alias("n"))
+        held = index.join(asked.select("s", "bucket", "parts").distinct(), ["s", "bucket"])
+        held = held.select("s", "bucket", F.expr("pmod(xxhash64(code), parts)").cast("int").alias("p"), F.lit(0).alias("asks"), "code", "first", "n")
+        parted = queries.union(held).repartition(tasks, "s", "bucket", "p").sortWithinPartitions("s", "bucket", "p", "asks")
+        found = _probed(parted, radius, cut, prefix, k + 1)
         found = found if best is None else found.union(best)
         found = found.withColumn("rank", F.row_number().over(by_code.orderBy("distance", "first"))).where(F.col("rank") <= k + 1).drop("rank")
         covered = F.sum(F.when(F.col("distance") < len(cut) * (radius + 1), F.col("n"))).over(by_code)

@@ -103,8 +103,8 @@ def test_hamming_top_k(spark):
     points += [(i, codes[0]) for i in range(300, 400)]
     points = [(i, int(np.uint64(c).astype(np.int64))) for i, c in points]
     df = spark.createDataFrame([*points, (None, 5), (1000, None)], "id bigint, code bigint")
-    for shard, block in ((65536, 1024), (10, 5)):
-        assert sorted(rows(hamming.top_k(df, F.col("id") % 20 == 0, 5, shard, block))) == slow_top_k(points, {i for i, _ in points if i % 20 == 0}, 5)
+    for shard in (65536, 10):
+        assert sorted(rows(hamming.top_k(df, F.col("id") % 20 == 0, 5, shard))) == slow_top_k(points, {i for i, _ in points if i % 20 == 0}, 5)
     few = spark.createDataFrame([(0, 1), (1, 3)], "id bigint, code bigint")
     assert rows(hamming.top_k(few, F.col("id") == 0)) == [(0, 1, 1, 1)]
     assert hamming.top_k(few.limit(0), F.lit(True)).count() == 0
@@ -116,7 +116,7 @@ def test_hamming_segments_and_far_queries(spark):
     points = [(i, rnd.getrandbits(48) << 16 | 7) for i in range(200)] + [(200, 0), (220, (1 << 64) - 1)]
     points = [(i, int(np.uint64(c).astype(np.int64))) for i, c in points]
     df = spark.createDataFrame(points, "id bigint, code bigint")
-    assert sorted(rows(hamming.top_k(df, F.col("id") % 20 == 0, 3, 16, 4))) == slow_top_k(points, {i for i, _ in points if i % 20 == 0}, 3)
+    assert sorted(rows(hamming.top_k(df, F.col("id") % 20 == 0, 3, 16))) == slow_top_k(points, {i for i, _ in points if i % 20 == 0}, 3)
     for n, m in ((0, 8), (2, 8), (500, 7), (1 << 16, 4), (1 << 21, 3), (1 << 40, 2)):
         got = hamming.cuts(n)
         assert len(got) == m and [a for a, _ in got] == [sum(w for _, w in got[:s]) for s in range(m)] and sum(w for _, w in got) == 64
