@@ -12,8 +12,12 @@ words under it (about 48). Runs are a fifteenth of the windows, and only they ar
 1. Runs of all documents, counted by minimiser. A minimiser that one run alone has, once, is done.
 2. Runs whose whole passage occurs again are one factor: all its windows are duplicates.
 3. Of the other passages, one of each text goes to its reference block and is parsed greedily
-   against an index of the block. Blocks over BLOCK passages are split; each passage is parsed
-   against every part. This settles the ends of duplicate spans and the surroundings of edits.
+   against an index of the block. This settles the ends of duplicate spans and the surroundings of
+   edits.
+4. A block over BLOCK passages (a gram that very many texts have) is divided first: its passages are
+   cut into runs by minimisers of FINE words, again equal runs are one factor, and one run of each
+   text goes to the smaller block of both minimisers. Should such a block be over BLOCK too, it is
+   split, and each passage is parsed against every part.
 
 Words are compared by 64-bit hashes, whole windows by all their words.
 """
@@ -32,8 +36,12 @@ from pyspark.sql import functions as F
 from chronofold.llm import common
 
 WINDOW, GRAM = 35, 8
+#: Words of the grams that divide a block of too many passages.
+FINE = 24
 #: Most passages of a reference block that one task indexes at once (and as many again to parse).
 BLOCK = 1024
+#: Tasks over which the passages of one block are dealt before its size is known.
+SALTS = 64
 #: Fixed odd multipliers for sums over words.
 _BASE = 0x9E3779B97F4A7C15
 _FACTORS = [pow(_BASE, i + 1, 1 << 64) | 1 for i in range(max(WINDOW, GRAM))]
@@ -187,6 +195,49 @@ def factor(member: int, words: list[np.ndarray], windows: list[np.ndarray], inde
     return out
 
 
+def _finer(members: DataFrame) -> DataFrame:
+    """The passages cut into runs by minimisers of FINE words, m2; ph and lo are the runs' own."""
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 1024):
+                b = whole.slice(at, 1024)
+                rows, fine, passage, start, words = [], [], [], [], []
+                for i, (raw, lo) in enumerate(zip(b.column("words"), b.column("lo").to_pylist(), strict=True)):
+                    h = np.frombuffer(raw.as_py(), np.uint64)
+                    m, ph, first, last, _ = runs(h, WINDOW, FINE)
+                    rows.append(np.full(len(m), i))
+                    fine.append(m)
+                    passage.append(ph)
+                    start.append(first + lo)
+                    words.extend(h[x : y + WINDOW].tobytes() for x, y in zip(first.tolist(), last.tolist(), strict=True))
+                if words:
+                    kept = b.select(["doc_id", "th", "m", "alone"]).take(pa.array(np.concatenate(rows)))
+                    found = [pa.array(np.concatenate(fine).view(np.int64)), pa.array(np.concatenate(passage).view(np.int64)), pa.array(np.concatenate(start).astype(np.int32)), pa.array(words, pa.binary())]
+                    yield pa.RecordBatch.from_arrays([*kept.columns, *found], names=[*kept.schema.names, "m2", "ph", "lo", "words"])
+
+    kind = members.schema["doc_id"].dataType.simpleString()
+    return members.select("doc_id", "th", "m", "alone", "lo", "words").mapInArrow(each, f"doc_id {kind}, th bigint, m bigint, alone boolean, m2 bigint, ph bigint, lo int, words binary")
+
+
+def _sized(members: DataFrame, block: int) -> DataFrame:
+    """The passages with k, how many parts of `block` passages theirs makes. Only blocks of several parts are joined, by a salt, so that none meets in one task."""
+    large = members.groupBy("m").agg(F.count("*").alias("n")).where(F.col("n") > block)
+    large = large.select("m", F.ceil(F.col("n") / block).cast("int").alias("k"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    salted = members.withColumn("salt", F.pmod(F.xxhash64("ph"), F.lit(SALTS)).cast("int"))
+    return salted.join(large, ["m", "salt"], "left").drop("salt").withColumn("k", F.coalesce("k", F.lit(1)))
+
+
+def _divided(members: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """The passages of large blocks as runs in smaller blocks, one of each text, and the spans that equal runs settle."""
+    runs_ = common.written(_finer(members).withColumn("m", F.xxhash64("m", "m2")).drop("m2"), "finer")
+    one = F.first(F.struct("doc_id", "th", "alone", "lo", "words")).alias("one")  # with n > 1 only its words count, and they are equal
+    texts = common.written(runs_.groupBy("m", "ph").agg(F.count("*").alias("n"), one), "finer-texts")
+    equal = runs_.where("alone").select("m", "ph", "doc_id", "th", "lo", (F.col("lo") + (F.length("words") / 8 - WINDOW).cast("int")).alias("hi"))
+    equal = equal.join(texts.where("n > 1").select("m", "ph"), ["m", "ph"]).select("doc_id", "th", "lo", "hi")
+    return texts.select("m", "ph", "one.doc_id", "one.th", (F.col("one.alone") & (F.col("n") == 1)).alias("alone"), "one.lo", "one.words"), equal
+
+
 def _parse_blocks(groups: DataFrame) -> DataFrame:
     """Duplicate spans of the passages that are alone in their text, in each block."""
 
@@ -238,7 +289,7 @@ def _same(a: DataFrame, b: DataFrame, how: str) -> DataFrame:
     return a.join(b, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("th") == F.col("__th")), how).drop("__id", "__th")
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", texts: bool = True) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", texts: bool = True, block: int = BLOCK) -> DataFrame:
     """One row a document: doc_id, n_words, n_removed, kept_sha256 and, with texts, kept (the words left, one space between).
 
     Null and empty texts have no words. Repeated rows count as occurrences of each other. Documents
@@ -261,12 +312,14 @@ def remove_repeats(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     plan = spans.union(wanted).groupBy("doc_id", "th").agg(F.collect_list(F.when(F.col("w").isNull(), F.struct("lo", "hi"))).alias("spans"), F.collect_list("w").alias("wanted"))
     first = common.written(_first_pass(_same(docs, plan, "left"), texts), "first-pass")
 
-    members = first.select("doc_id", "th", F.explode("passages").alias("x")).select("doc_id", "th", "x.*")
-    sizes = members.groupBy("m").agg(F.count("*").alias("n")).select("m", F.ceil(F.col("n") / BLOCK).cast("int").alias("k"))
-    dealt = members.join(sizes, "m").withColumn("i", F.pmod(F.xxhash64("ph"), F.col("k")).cast("int"))
+    members = _sized(first.select("doc_id", "th", F.explode("passages").alias("x")).select("doc_id", "th", "x.*"), block)
+    members = common.written(members, "members")
+    fine, equal = _divided(members.where("k > 1"), block)
+    columns = ["doc_id", "th", "m", "ph", "alone", "lo", "words", "k"]
+    dealt = members.where("k = 1").select(columns).union(_sized(fine, block).select(columns)).withColumn("i", F.pmod(F.xxhash64("ph"), F.col("k")).cast("int"))
     dealt = dealt.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     blocks = dealt.groupBy("m", F.least("i", "j").alias("a"), F.greatest("i", "j").alias("b")).agg(F.collect_list(F.struct("doc_id", "th", "alone", "lo", "words")).alias("block"))
-    found = _parse_blocks(blocks.select("block")).groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("more"))
+    found = _parse_blocks(blocks.select("block")).union(equal).groupBy("doc_id", "th").agg(F.collect_set(F.struct("lo", "hi")).alias("more"))
     rest = _last_pass(_same(first.where("open is not null").select("doc_id", "th", "open", "spans"), found, "left"), texts)
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept"] if texts else [])]
     return first.where("open is null").select(columns).union(rest.select(columns))

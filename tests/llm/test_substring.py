@@ -27,9 +27,9 @@ def slow(docs, window=35):
     return out
 
 
-def check(spark, docs):
+def check(spark, docs, block=substring.BLOCK):
     df = spark.createDataFrame([(i, t, "m", 1) for i, t in enumerate(docs)], "doc_id bigint, text string, m string, th int")
-    got = {r["doc_id"]: r for r in substring.remove_repeats(df).collect()}
+    got = {r["doc_id"]: r for r in substring.remove_repeats(df, block=block).collect()}
     want = slow(docs)
     assert [(got[i]["n_words"], got[i]["n_removed"], got[i]["kept_sha256"]) for i in range(len(docs))] == want
     assert all(hashlib.sha256(r["kept"].encode()).hexdigest() == r["kept_sha256"] for r in got.values())
@@ -56,13 +56,17 @@ def test_corpora_equal_brute_force(spark):
         assert 0 < sum(x[1] for x in want) < sum(x[0] for x in want)
 
 
-def test_split_blocks(spark, monkeypatch):
-    """A hot reference block, dealt out in parts of three."""
-    monkeypatch.setattr(substring, "BLOCK", 3)
+def test_large_blocks(spark):
+    """Reference blocks over their size: divided by a second minimiser, and dealt out in parts where that one is hot too."""
     rnd = random.Random(9)
     line = [f"l{i}" for i in range(34)]
     docs = [" ".join([*rnd.choices(["p", "q"], k=3), *line, *rnd.choices(["r", "s", "t"], k=3)]) for _ in range(50)]
-    check(spark, docs)
+    check(spark, docs, 3)
+    vocabulary = [f"w{i}" for i in range(30)]
+    ways = [rnd.choices(vocabulary, k=40) for _ in range(4)]
+    docs = [" ".join([*rnd.choice(ways)[: rnd.randint(20, 40)], *line[:9], *rnd.choice(ways)[: rnd.randint(5, 40)]] * rnd.randint(1, 2)) for _ in range(80)]
+    check(spark, docs, 3)
+    check(spark, corpus(random.Random(7)), 1)
 
 
 @settings(max_examples=6, deadline=None, suppress_health_check=list(HealthCheck))
