@@ -54,6 +54,19 @@ def rate(events: DataFrame, ts: str, keys: list[str], minutes: int = 5) -> DataF
     return got.select(*keys, F.col("w.start").alias("start"), "n", (F.col("n") / (60.0 * minutes)).alias("per_second"))
 
 
+def sliding_rate(events: DataFrame, ts: str, keys: list[str], minutes: int = 5) -> DataFrame:
+    """The rows with per_second: events a second of their keys over the minutes up to each, its own instant included.
+
+    Time is cut into stretches of that length and an event is in its own and the next, which is all
+    that an event's look back can reach; so a task has two stretches of a key, however long the log.
+    """
+    span = minutes * 60_000_000
+    at = F.unix_micros(ts)
+    own = events.withColumn("__at", at).withColumn("__next", F.explode(F.array(F.lit(0), F.lit(1)))).withColumn("__stretch", F.expr(f"(__at - pmod(__at, {span})) div {span}L") + F.col("__next"))
+    w = Window.partitionBy(*keys, "__stretch").orderBy("__at").rangeBetween(1 - span, 0)
+    return own.withColumn("per_second", F.count("*").over(w) / (60.0 * minutes)).where("__next = 0").drop("__at", "__next", "__stretch")
+
+
 def _label_text(labels: Column) -> Column:
     """Labels sorted by name, without braces; backslashes, quotes and line ends escaped."""
     escaped = F.transform(F.array_sort(F.map_entries(labels)), lambda e: F.concat(e["key"], F.lit('="'), F.regexp_replace(F.regexp_replace(e["value"], r'([\\"])', r"\\$1"), "\n", r"\\n"), F.lit('"')))

@@ -64,6 +64,12 @@ def transaction_history(log: DataFrame, a: Accounts = USERS) -> DataFrame:
     return own.where(a.moves()).select(*STREAM, "global_nonce", kind.alias("type"), F.col(a.amount).alias("amount"), "balance_after")
 
 
+def accounts_by_customer(log: DataFrame, customer: Column, a: Accounts = USERS) -> DataFrame:
+    """Account summaries with the customer that the last opening names; a customer's accounts are a filter on it."""
+    owner = log.where(F.col("event_type") == a.opened).groupBy(*STREAM).agg(F.max_by(customer, "aggregate_nonce").alias("customer_id"))
+    return account_summary(log, a).join(owner, list(STREAM))
+
+
 def accounts_by_tenant(summary: DataFrame) -> DataFrame:
     return summary.groupBy("tenant_id").agg(F.count("*").alias("accounts"), F.sum("balance").alias("balance"), F.count_if(F.col("status") == "Open").alias("open"), F.sum("transactions").alias("transactions"))
 
@@ -104,6 +110,33 @@ def customer_history(orders: DataFrame) -> DataFrame:
     )
 
 
+def customer_orders(orders: DataFrame) -> DataFrame:
+    """Each customer's orders in order of time, with their number and the lifetime value (cents) up to each. A row an order, so no customer is a collected list."""
+    own = orders.withColumn("total", F.round(F.col("o_totalprice") * 100).cast("bigint"))
+    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
+    value = F.sum("total").over(w.rowsBetween(Window.unboundedPreceding, 0))
+    return own.select("o_custkey", F.row_number().over(w).alias("n"), "o_orderkey", "o_orderdate", "total", value.alias("value"))
+
+
+def get_order(orders: DataFrame, key: int) -> DataFrame:
+    return orders.where(F.col("o_orderkey") == key)
+
+
+def list_orders(orders: DataFrame, customer: int | None = None, status: str | None = None, offset: int = 0, limit: int = 100) -> DataFrame:
+    """A page of the orders of a customer, of a status, or of all, oldest first."""
+    for column, wanted in (("o_custkey", customer), ("o_orderstatus", status)):
+        orders = orders if wanted is None else orders.where(F.col(column) == wanted)
+    return orders.orderBy("o_orderdate", "o_orderkey").offset(offset).limit(limit)
+
+
+def sales_of_items(orders: DataFrame, items: str = "items") -> DataFrame:
+    """Quantity, revenue (cents) and orders by product, of orders with an array of (product, quantity, price)."""
+    each = orders.select("order_id", F.explode(items).alias("i")).select("order_id", "i.*")
+    # an order that has a product twice is one order of it; first by both, which also spreads a hot product
+    by_order = each.groupBy("product", "order_id").agg(F.sum("quantity").alias("quantity"), F.sum("price").alias("revenue"))
+    return by_order.groupBy("product").agg(F.sum("quantity").alias("quantity"), F.sum("revenue").alias("revenue"), F.count("*").alias("orders"))
+
+
 def order_totals(lines: DataFrame) -> DataFrame:
     """Each order's total in cents, lines and quantity."""
     price = F.round(F.col("l_extendedprice") * 100).cast("bigint")
@@ -119,6 +152,69 @@ def inventory(log: DataFrame, added: str, removed: str, reserved: str) -> DataFr
     return got.withColumn("available", F.col("total") - F.col("reserved"))
 
 
+@dataclass(frozen=True)
+class Products:
+    """Event types of products. `amount` is the quantity of a movement and the price of a creation or change; `stock` what a creation opens with."""
+
+    created: str
+    priced: str
+    added: str
+    removed: str
+    amount: str = "amount"
+    stock: str = "stock"
+
+    def change(self) -> Column:
+        of = F.when(F.col("event_type") == self.created, F.col(self.stock)).when(F.col("event_type") == self.added, F.col(self.amount))
+        return of.when(F.col("event_type") == self.removed, -F.col(self.amount)).otherwise(F.lit(0).cast("bigint"))
+
+    def price(self) -> Column:
+        return F.when(F.col("event_type").isin(self.created, self.priced), F.col(self.amount))
+
+
+def _before(log: DataFrame, created: str) -> tuple[Column, object]:
+    """Whether a stream's creation came before an event, and the window of the events before it."""
+    w = Window.partitionBy(*STREAM).orderBy("aggregate_nonce").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.max(F.col("event_type") == created).over(w), F.lit(False)), w
+
+
+def product_states(log: DataFrame, p: Products) -> DataFrame:
+    """Price and stock of each product after its events."""
+    own = log.where(F.col("event_type").isin(p.created, p.priced, p.added, p.removed))
+    price = F.max_by(p.price(), F.when(p.price().isNotNull(), F.col("aggregate_nonce")))
+    return own.groupBy(*STREAM).agg(price.alias("price"), F.sum(p.change()).alias("stock"))
+
+
+def product_violations(log: DataFrame, p: Products) -> DataFrame:
+    """Events that break a rule of products in the state they meet: the first rule broken, in the order below."""
+    own = log.where(F.col("event_type").isin(p.created, p.priced, p.added, p.removed))
+    exists, w = _before(own, p.created)
+    kind, amount = F.col("event_type"), F.col(p.amount)
+    own = own.withColumns({"there": exists, "stock_before": F.coalesce(F.sum(p.change()).over(w), F.lit(0).cast("bigint")), "price_before": F.last(p.price(), ignorenulls=True).over(w)})
+    moves = kind.isin(p.added, p.removed)
+    rule = F.when((kind == p.created) & F.col("there"), "exists already").when((kind != p.created) & ~F.col("there"), "does not exist")
+    rule = rule.when(~moves & (amount < 0), "negative price").when((kind == p.created) & (F.col(p.stock) < 0), "negative stock")
+    rule = rule.when((kind == p.priced) & (amount == F.col("price_before")), "same price").when(moves & (amount <= 0), "quantity not positive")
+    rule = rule.when((kind == p.removed) & (F.col("stock_before") < amount), "insufficient stock")
+    return own.withColumn("rule", rule).where("rule is not null").select(*STREAM, "aggregate_nonce", "event_type", "rule")
+
+
+def customer_states(log: DataFrame, registered: str, moved: str, address: Column) -> DataFrame:
+    """The address of each customer after its events, and how often it changed."""
+    own = log.where(F.col("event_type").isin(registered, moved))
+    return own.groupBy(*STREAM).agg(F.max_by(address, "aggregate_nonce").alias("address"), F.count_if(F.col("event_type") == moved).alias("moves"))
+
+
+def customer_violations(log: DataFrame, registered: str, moved: str, address: Column) -> DataFrame:
+    """Events that break a rule of customers in the state they meet: the first rule broken."""
+    own = log.where(F.col("event_type").isin(registered, moved)).withColumn("to", address)
+    exists, w = _before(own, registered)
+    own = own.withColumns({"there": exists, "from": F.last("to").over(w)})
+    kind = F.col("event_type")
+    rule = F.when((kind == registered) & F.col("there"), "registered already").when((kind == moved) & ~F.col("there"), "does not exist")
+    rule = rule.when(F.coalesce(F.col("to"), F.lit("")) == "", "no address").when((kind == moved) & (F.col("to") == F.col("from")), "same address")
+    return own.withColumn("rule", rule).where("rule is not null").select(*STREAM, "aggregate_nonce", "event_type", "rule")
+
+
 @dataclass(frozen=True)
 class Machine:
     """A state machine: initial state, and transitions (event type, from, to)."""

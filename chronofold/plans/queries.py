@@ -299,6 +299,79 @@ def customer_history_topk(spark, d):
     return projections.customer_history(_table(spark, d, "orders")).orderBy(F.col("value").desc(), "o_custkey").limit(10)
 
 
+@query("""SELECT o_custkey, CAST(row_number() OVER w AS INTEGER) AS n, o_orderkey, o_orderdate, CAST(round(o_totalprice * 100) AS BIGINT) AS total,
+  CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS UNBOUNDED PRECEDING) AS BIGINT) AS value
+FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)""", log=False)
+def customer_orders(spark, d):
+    return projections.customer_orders(_table(spark, d, "orders"))
+
+
+@query("SELECT * FROM orders WHERE o_orderkey = 7", log=False)
+def get_order(spark, d):
+    return projections.get_order(_table(spark, d, "orders"), 7)
+
+
+@query("SELECT * FROM orders WHERE o_orderstatus = 'O' ORDER BY o_orderdate, o_orderkey LIMIT 100 OFFSET 100", log=False)
+def list_orders(spark, d):
+    return projections.list_orders(_table(spark, d, "orders"), status="O", offset=100)
+
+
+@query("""SELECT l_partkey AS product, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS revenue,
+  count(DISTINCT l_orderkey) AS orders FROM lineitem GROUP BY l_partkey""", log=False)
+def product_sales_items(spark, d):
+    item = F.struct(F.col("l_partkey").alias("product"), F.col("l_quantity").cast("bigint").alias("quantity"), F.round(F.col("l_extendedprice") * 100).cast("bigint").alias("price"))
+    return projections.sales_of_items(_table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.collect_list(item).alias("items")))
+
+
+@query(""", e AS (SELECT *, max(CASE event_type WHEN 'signup' THEN aggregate_nonce END) OVER (PARTITION BY user_id) AS opening FROM log WHERE event_type IN ('signup', 'purchase', 'error', 'closed')),
+own AS (SELECT * FROM e WHERE opening IS NOT NULL AND aggregate_nonce >= opening)
+SELECT tenant_id, aggregate_id, CAST(sum(CASE event_type WHEN 'error' THEN -amount WHEN 'closed' THEN 0 ELSE amount END) AS BIGINT) AS balance,
+  count(*) FILTER (event_type IN ('purchase', 'error')) AS transactions, CASE WHEN bool_or(event_type = 'closed') THEN 'Closed' ELSE 'Open' END AS status,
+  arg_max(timestamp_unix_ms, global_nonce) AS last_activity, arg_max('c' || CAST(amount % 50 AS VARCHAR), aggregate_nonce) FILTER (event_type = 'signup') AS customer_id
+FROM own GROUP BY tenant_id, aggregate_id""")
+def accounts_by_customer(spark, d):
+    customer = F.concat(F.lit("c"), (F.col("amount") % 50).cast("string"))
+    return projections.accounts_by_customer(_log(spark, d), customer)
+
+
+PRODUCTS = projections.Products("signup", "view", "purchase", "error")
+PRODUCTS_SQL = """, e AS (SELECT *, amount % 1000 AS stock FROM log WHERE event_type IN ('signup', 'view', 'purchase', 'error')),
+c AS (SELECT *, CASE event_type WHEN 'signup' THEN stock WHEN 'purchase' THEN amount WHEN 'error' THEN -amount ELSE 0 END AS change,
+  CASE WHEN event_type IN ('signup', 'view') THEN amount END AS price FROM e)
+"""
+
+
+@query(PRODUCTS_SQL + "SELECT tenant_id, aggregate_id, arg_max(price, aggregate_nonce) FILTER (price IS NOT NULL) AS price, CAST(sum(change) AS BIGINT) AS stock FROM c GROUP BY ALL")
+def product_states(spark, d):
+    return projections.product_states(_log(spark, d).withColumn("stock", F.col("amount") % 1000), PRODUCTS)
+
+
+@query(PRODUCTS_SQL + """, b AS (SELECT *, coalesce(bool_or(event_type = 'signup') OVER w, false) AS there, coalesce(sum(change) OVER w, 0) AS stock_before,
+  last_value(price IGNORE NULLS) OVER w AS price_before FROM c WINDOW w AS (PARTITION BY user_id ORDER BY aggregate_nonce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, CASE WHEN event_type = 'signup' AND there THEN 'exists already' WHEN event_type <> 'signup' AND NOT there THEN 'does not exist'
+  WHEN price < 0 THEN 'negative price' WHEN event_type = 'signup' AND stock < 0 THEN 'negative stock' WHEN event_type = 'view' AND amount = price_before THEN 'same price'
+  WHEN price IS NULL AND amount <= 0 THEN 'quantity not positive' WHEN event_type = 'error' AND stock_before < amount THEN 'insufficient stock' END AS rule FROM b)
+SELECT tenant_id, aggregate_id, aggregate_nonce, event_type, rule FROM r WHERE rule IS NOT NULL""")
+def product_violations(spark, d):
+    return projections.product_violations(_log(spark, d).withColumn("stock", F.col("amount") % 1000), PRODUCTS)
+
+
+@query(", e AS (SELECT *, 'street ' || CAST(amount % 7 AS VARCHAR) AS address FROM log WHERE event_type IN ('signup', 'click')) SELECT tenant_id, aggregate_id, arg_max(address, aggregate_nonce) AS address, count(*) FILTER (event_type = 'click') AS moves FROM e GROUP BY ALL")
+def customer_states(spark, d):
+    return projections.customer_states(_log(spark, d), "signup", "click", F.concat(F.lit("street "), (F.col("amount") % 7).cast("string")))
+
+
+@query(""", e AS (SELECT *, CASE WHEN amount % 11 > 0 THEN 'street ' || CAST(amount % 7 AS VARCHAR) END AS address FROM log WHERE event_type IN ('signup', 'click')),
+b AS (SELECT *, coalesce(bool_or(event_type = 'signup') OVER w, false) AS there, last_value(address) OVER w AS was FROM e
+  WINDOW w AS (PARTITION BY user_id ORDER BY aggregate_nonce ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+r AS (SELECT *, CASE WHEN event_type = 'signup' AND there THEN 'registered already' WHEN event_type = 'click' AND NOT there THEN 'does not exist'
+  WHEN coalesce(address, '') = '' THEN 'no address' WHEN event_type = 'click' AND address = was THEN 'same address' END AS rule FROM b)
+SELECT tenant_id, aggregate_id, aggregate_nonce, event_type, rule FROM r WHERE rule IS NOT NULL""")
+def customer_violations(spark, d):
+    address = F.when(F.col("amount") % 11 > 0, F.concat(F.lit("street "), (F.col("amount") % 7).cast("string")))
+    return projections.customer_violations(_log(spark, d), "signup", "click", address)
+
+
 @query("SELECT l_orderkey, CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) AS total, count(*) AS lines, CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT) AS quantity FROM lineitem GROUP BY l_orderkey", log=False)
 def order_totals(spark, d):
     return projections.order_totals(_table(spark, d, "lineitem"))
@@ -460,6 +533,12 @@ def rate_5m(spark, d):
     return got.select("event_type", F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "n", "per_second")
 
 
+@query("""SELECT global_nonce, event_type, count(*) OVER (PARTITION BY event_type ORDER BY timestamp_unix_ms RANGE BETWEEN 299999 PRECEDING AND CURRENT ROW) / 300.0 AS per_second FROM log""")
+def sliding_rate_5m(spark, d):
+    e = reading.without_nonce(spark, d).withColumn("ts", F.timestamp_millis("timestamp_unix_ms"))
+    return metrics.sliding_rate(e, "ts", ["event_type"]).select("global_nonce", "event_type", "per_second")
+
+
 @query("""SELECT 'events_total' AS name, '{"tenant":"' || tenant_id || '","type":"' || event_type || '"}' AS labels, CAST(count(*) AS DOUBLE) AS value FROM log GROUP BY tenant_id, event_type""")
 def event_counters(spark, d):
     e = reading.without_nonce(spark, d)
