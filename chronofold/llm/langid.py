@@ -5,39 +5,42 @@ end), give character n-grams of 2 and 3, hashed to DIM buckets. A vector has (1
 each bucket, with length 1. Each language has a few centroids, from spherical k-means over its
 training vectors. A text goes to the language of the centroid of largest cosine; of equal ones the
 first by language. It is rejected if it has no letter, or lies farther from that centroid, by a
-margin, than training texts of its length do: all whole ones, and most excerpts. Short texts lie far
+margin, than training texts of its length do: all whole ones, and most pieces. Short texts lie far
 from every centroid, and so do words repeated over and over. So the reach is learned for each power
-of two of the number of different n-grams, from excerpts of every length from all over the texts.
+of two of the number of different n-grams, from all pieces of every length that the texts are cut into.
 
-Fitting takes at most SAMPLE rows of each language, those of smallest hash. The driver gets one
-vector of fixed size a row, and then a histogram of distances. Prediction runs over whole
-texts, in strips that share their border, so memory stays bounded and no n-gram is lost.
+Fitting takes every labelled text: frequencies, each round of k-means and the reach are sums over
+all of them. The sums are of integers, so they don't depend on how rows are dealt out. The driver gets
+sums and histograms, whose size is fixed by the number of languages, and of each language one row for
+each centroid. Prediction runs over whole texts, in strips that share their border, so memory stays
+bounded and no n-gram is lost.
 """
 
 from __future__ import annotations
 
 import sys
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from chronofold.llm import common
 
-#: Buckets of n-grams (a power of two); training rows of a language; centroids of a language.
-DIM, SAMPLE, CENTROIDS = 4096, 256, 3
+#: Buckets of n-grams (a power of two); centroids of a language; rounds of k-means at most.
+DIM, CENTROIDS, ROUNDS = 4096, 3, 12
 #: Characters of a text that are turned to n-grams at once.
 STRIP = 1 << 20
-#: What a text may lie farther (1 - cosine) from its centroid than training texts of its length; the share of excerpts that counts.
+#: Characters whose pieces are sorted at once (a power of two); rows of counts that are weighed at once.
+BLOCK, SLICE = 1 << 15, 128
+#: Weights are summed as integers, in parts of 1; a product of two is exact in float64.
+UNIT = 1 << 26
+#: What a text may lie farther (1 - cosine) from its centroid than training texts of its length; the share of pieces that counts.
 MARGIN, SHARE = 0.1, 0.99
-#: Excerpts of each length (1, 2, 4, ... characters, up to the whole) that are taken of a training text.
-EXCERPTS = 4
 #: Powers of two that the number of different n-grams can have.
 CLASSES = DIM.bit_length() + 1
 #: Steps of the histogram of distances, which go from 0 to 1.
@@ -51,24 +54,34 @@ def _letters() -> np.ndarray:
     return np.fromiter((chr(i).isalpha() for i in range(sys.maxunicode + 1)), bool, sys.maxunicode + 1)
 
 
-def counts(text: str) -> np.ndarray | None:
-    """How often each bucket's n-grams occur; None without a letter."""
-    text = text.lower()
-    letter, total, before = _letters(), np.zeros(DIM, np.int64), False
-    tail, shift = np.array([32], np.uint32), np.uint32(32 - (DIM.bit_length() - 1))
+def _squeezed(text: str) -> Iterator[np.ndarray]:
+    """Strips of the text's letters, lower-cased, with one space for each run of others between and after them."""
+    text, letter, before = text.lower(), _letters(), False
     for i in range(0, len(text), STRIP):
         raw = np.frombuffer(text[i : i + STRIP].encode("utf-32-le", "surrogatepass"), np.uint32)
         is_letter = letter[raw]
         follows = np.concatenate([[before], is_letter[:-1]])
         new, before = np.where(is_letter, raw, np.uint32(32))[is_letter | follows], bool(is_letter[-1])
-        if before and i + STRIP >= len(text):
-            new = np.append(new, np.uint32(32))
+        yield np.append(new, np.uint32(32)) if before and i + STRIP >= len(text) else new
+
+
+def _buckets(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets of the n-grams of 2 and of 3 that begin at each character."""
+    two = a[:-1] * np.uint32(0x9E3779B1) + a[1:] * np.uint32(0x85EBCA77)
+    three = two[:-1] * np.uint32(0xC2B2AE3D) + a[2:] * np.uint32(0x27D4EB2F) + np.uint32(1)
+    shift, mix = np.uint32(32 - (DIM.bit_length() - 1)), np.uint32(0x165667B1)
+    return two * mix >> shift, three * mix >> shift
+
+
+def counts(text: str) -> np.ndarray | None:
+    """How often each bucket's n-grams occur; None without a letter."""
+    total, tail = np.zeros(DIM, np.int64), np.array([32], np.uint32)
+    for new in _squeezed(text):
         # the last two characters are carried over; n-grams that end in them are counted
         a = np.concatenate([tail, new])
-        two = a[:-1] * np.uint32(0x9E3779B1) + a[1:] * np.uint32(0x85EBCA77)
-        three = two[:-1] * np.uint32(0xC2B2AE3D) + a[2:] * np.uint32(0x27D4EB2F) + np.uint32(1)
+        two, three = _buckets(a)
         for grams in (two[len(two) - len(new) :], three):
-            total += np.bincount((grams * np.uint32(0x165667B1)) >> shift, minlength=DIM)
+            total += np.bincount(grams, minlength=DIM)
         tail = a[-2:]
     return total if total.any() else None
 
@@ -83,15 +96,33 @@ def _length_class(tf: np.ndarray) -> int:
     return int(np.count_nonzero(tf)).bit_length()
 
 
-def excerpts(text: str, each: int = EXCERPTS) -> Iterator[str]:
-    """The text, and stretches of 1, 2, 4, ... characters from places that its hash gives."""
-    yield text
-    n, seed = 1, xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"))
-    while n < len(text):
-        for i in range(each):
-            at = xxhash.xxh64_intdigest(i.to_bytes(4, "little") + n.to_bytes(8, "little"), seed) % (len(text) - n + 1)
-            yield text[at : at + n]
-        n *= 2
+@lru_cache(1)
+def _logs() -> np.ndarray:
+    """1 + log of how often an n-gram can occur in a block."""
+    return (1 + np.log(np.maximum(np.arange(2 * BLOCK + 3), 1))).astype(np.float32)
+
+
+_EDGE = np.uint32(1 << 31 | 32)
+
+
+def _cut(x: np.ndarray, sizes: list[int]) -> np.ndarray:
+    """Characters cut into consecutive pieces, for each of the sizes: piece * DIM + bucket of all their n-grams.
+
+    A piece has a space at either end, which neighbours share; one that is a space itself has no n-gram.
+    """
+    found, pieces = [], 0
+    for n in sizes:
+        at = np.concatenate([np.arange(0, len(x), n), [len(x)]])
+        z = x.copy()
+        left, right = np.append(False, x[at[1:] - 1] == 32), np.append(x[at[:-1]] == 32, False)
+        z[at[left] - 1] = z[at[right]] = _EDGE
+        z = np.insert(z, at[~(left | right)], _EDGE)
+        edge = z >> np.uint32(31)
+        piece = (np.cumsum(edge, dtype=np.int32) + np.int32(pieces - 1)) * np.int32(DIM)
+        two, three = _buckets(z & np.uint32(0x7FFFFFFF))
+        found += [piece[:-1] + two.view(np.int32), (piece[:-2] + three.view(np.int32))[edge[1:-1] == 0]]
+        pieces += len(at)
+    return np.concatenate(found)
 
 
 @dataclass(frozen=True)
@@ -116,43 +147,228 @@ class Model:
         score = float(min(1.0, max(0.0, cosine[best])))
         return self.langs[best], score, bool(1 - score > self.reach[_length_class(tf)])
 
-    def distances(self, text: str, lang: str) -> np.ndarray:
-        """How often the text (1) and its excerpts (0) lie how far from the nearest centroid of its language, by class and step."""
-        n, own = np.zeros((CLASSES, 2, STEPS + 1), np.int64), self.centroids[[x == lang for x in self.langs]]
-        for i, x in enumerate(excerpts(text)):
-            if (tf := counts(x)) is not None:
-                far = 1 - float((own @ vectors(tf[None], self.idf)[0]).max())
-                n[_length_class(tf), int(i == 0), int(np.ceil(min(1.0, max(0.0, far)) * STEPS))] += 1
+    def distances(self, text: str, lang: str, n: np.ndarray) -> None:
+        """Counts how far the text (1) and its pieces (0) lie from the nearest centroid of its language, by class and step.
+
+        The pieces are consecutive ones of 1, 2, 4, ... letters and spaces between them, the last of each
+        length being what is left, as long as that cuts the text. Texts over STRIP are cut strip by strip.
+        """
+        if (tf := counts(text)) is None:
+            return
+        own = self.centroids[[x == lang for x in self.langs]]
+
+        def add(tf: np.ndarray, whole: int) -> None:
+            far = 1 - float((own @ vectors(tf[None], self.idf)[0]).max())
+            n[_length_class(tf), whole, _step(far)] += 1
+
+        add(tf, 1)
+        for x in _squeezed(text):
+            sizes = [1 << i for i in range((len(x) - 1).bit_length())] if len(x) else []
+            for i in range(0, len(x), BLOCK):
+                if short := [size for size in sizes if size <= BLOCK]:
+                    self._distances(_cut(x[i : i + BLOCK], short), own, n)
+            for size in (size for size in sizes if size > BLOCK):
+                for i in range(0, len(x), size):
+                    a = x[i : i + size]
+                    two, three = _buckets(np.concatenate([[32] * int(a[0] != 32), a, [32] * int(a[-1] != 32)]).astype(np.uint32))
+                    if len(two):
+                        add(np.bincount(two, minlength=DIM) + np.bincount(three, minlength=DIM), 0)
+
+    def _distances(self, found: np.ndarray, own: np.ndarray, n: np.ndarray) -> None:
+        """As distances, of pieces given by their n-grams."""
+        if not len(found):
+            return
+        found.sort()
+        first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
+        times, found = np.diff(first, append=len(found)), found[first]
+        bucket, piece = found & (DIM - 1), found >> (DIM.bit_length() - 1)
+        w = _logs()[times] * self.idf[bucket]
+        begin = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
+        cosine = np.add.reduceat(w * own[0][bucket], begin)
+        for c in own[1:]:
+            np.maximum(cosine, np.add.reduceat(w * c[bucket], begin), out=cosine)
+        far = 1 - cosine / np.sqrt(np.add.reduceat(w * w, begin))
+        kind = _CLASS[np.diff(begin, append=len(piece))]
+        n[:, 0] += np.bincount(kind * (STEPS + 1) + _step(far), minlength=CLASSES * (STEPS + 1)).reshape(CLASSES, -1)
+
+
+def _step(far: np.ndarray | float) -> np.ndarray:
+    return np.ceil(np.clip(far, 0.0, 1.0) * STEPS).astype(np.int64)
+
+
+#: The class of each number of different n-grams.
+_CLASS = np.array([i.bit_length() for i in range(DIM + 1)])
+
+
+def _packed(tf: np.ndarray) -> bytes:
+    """A row of counts, in the shortest integers that hold them."""
+    return tf.astype(np.min_scalar_type(int(tf.max()))).tobytes()
+
+
+def _unpacked(tf: bytes) -> np.ndarray:
+    return np.frombuffer(tf, f"u{len(tf) // DIM}")
+
+
+@lru_cache(1)
+def _few() -> np.ndarray:
+    """1 + log of counts up to 255, and 0 of 0."""
+    return np.append(0.0, 1 + np.log(np.arange(1, 256)))
+
+
+def _weights(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """Rows of counts as TF-IDF of length 1, in whole UNITs."""
+    v = _few()[np.minimum(tf, 255)]
+    if (many := tf > 255).any():
+        v[many] = 1 + np.log(tf[many].astype(np.float64))
+    v *= idf
+    v *= (UNIT / np.sqrt(np.einsum("ij,ij->i", v, v)))[:, None]
+    return np.rint(v, out=v)
+
+
+def _cosines(lang: np.ndarray, v: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Cosine of each row with its language's centroids c[., lang], all in whole UNITs: exact, so whatever is beside a row."""
+    got = np.empty((len(c), len(lang)))
+    for x in set(lang.tolist()):
+        at = np.flatnonzero(lang == x)
+        got[:, at] = c[:, x] @ v[at].T
+    return got
+
+
+def _frequencies(lang: np.ndarray, tf: np.ndarray) -> np.ndarray:
+    """In how many rows each bucket occurs."""
+    return (tf > 0).sum(axis=0)
+
+
+def _moved(lang: np.ndarray, tf: np.ndarray, idf: np.ndarray, c: np.ndarray) -> np.ndarray:
+    """Sums of the rows that are nearest to each centroid, the first of equal ones, in UNITs."""
+    v, total = _weights(tf, idf), np.zeros(c.shape)
+    own = _cosines(lang, v, c).argmax(axis=0)
+    for x in set(lang.tolist()):
+        at = np.flatnonzero(lang == x)
+        total[:, x] = (own[at] == np.arange(len(c))[:, None]).astype(np.float64) @ v[at]
+    return total.reshape(-1).astype(np.int64)
+
+
+def _nearness(lang: np.ndarray, tf: np.ndarray, idf: np.ndarray, c: np.ndarray, sign: int) -> np.ndarray:
+    """Each row's cosine with the nearest of the centroids, times the sign."""
+    return sign * _cosines(lang, _weights(tf, idf), c).max(axis=0)
+
+
+def _least(slices: Iterator[tuple[np.ndarray, np.ndarray]], f: Callable, args: tuple) -> dict[int, tuple[float, bytes]]:
+    """Of each language the row with the least f, of equal ones the first by its counts."""
+    best = {}
+    for lang, tf in slices:
+        of = f(lang, tf, *args)
+        for x in set(lang.tolist()):
+            low = of[lang == x].min()
+            here = min((float(low), _packed(tf[i])) for i in np.flatnonzero((lang == x) & (of == low)))
+            best[x] = min(best.get(x, here), here)
+    return best
+
+
+class _Array:
+    """Training rows in memory: numbers of languages, and counts."""
+
+    def __init__(self, lang: np.ndarray, tf: np.ndarray) -> None:
+        self.slices = [(lang[i : i + SLICE], tf[i : i + SLICE]) for i in range(0, len(tf), SLICE)]
+
+    def total(self, size: int, f: Callable, *args) -> np.ndarray:
+        return sum((f(*x, *args) for x in self.slices), np.zeros(size, np.int64))
+
+    def least(self, f: Callable, *args) -> dict[int, np.ndarray]:
+        return {x: _unpacked(tf) for x, (_, tf) in _least(iter(self.slices), f, args).items()}
+
+
+class _Table:
+    """Training rows in a table of lang and tf (packed counts)."""
+
+    def __init__(self, rows: DataFrame, langs: list[str]) -> None:
+        self.rows, self.numbers = rows, {x: i for i, x in enumerate(langs)}
+
+    def _run(self, f: Callable, args: tuple, schema: str, then: Callable[[DataFrame], object]) -> object:
+        """What f(slices, args) gives of each task's rows, and then makes of it."""
+        numbers, shared = self.numbers, self.rows.sparkSession.sparkContext.broadcast(args)
+
+        def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            for b in batches:
+                for i in range(0, len(b), SLICE):
+                    part = b.slice(i, SLICE)
+                    lang = np.array([numbers[x] for x in part.column("lang").to_pylist()])
+                    yield lang, np.stack([_unpacked(x) for x in part.column("tf").to_pylist()])
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            yield from f(slices(batches), shared.value)
+
+        got = then(self.rows.mapInArrow(each, schema))
+        shared.destroy()
+        return got
+
+    def total(self, size: int, f: Callable, *args) -> np.ndarray:
+        def each(slices: Iterator, args: tuple) -> Iterator[pa.RecordBatch]:
+            n = np.zeros(size, np.int64)
+            for x in slices:
+                n += f(*x, *args)
+            at = np.flatnonzero(n)
+            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
+
+        got, n = self._run(each, args, "at bigint, n bigint", lambda x: x.groupBy("at").agg(F.sum("n").alias("n")).toArrow()), np.zeros(size, np.int64)
+        n[got["at"].to_numpy()] = got["n"].to_numpy()
         return n
 
+    def least(self, f: Callable, *args) -> dict[int, np.ndarray]:
+        def each(slices: Iterator, args: tuple) -> Iterator[pa.RecordBatch]:
+            got = [(x, score, tf) for x, (score, tf) in _least(slices, f, args).items()]
+            columns = zip(zip(*got, strict=True), (pa.int32(), pa.float64(), pa.binary()), strict=True) if got else ()
+            if columns := [pa.array(x, t) for x, t in columns]:
+                yield pa.RecordBatch.from_arrays(columns, names=["lang", "score", "tf"])
 
-def cluster(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Spherical k-means, started from rows far from each other; deterministic."""
-    chosen = [int((v @ v.mean(axis=0)).argmax())]
-    while len(chosen) < min(k, len(v)):
-        chosen.append(int((v @ v[chosen].T).max(axis=1).argmin()))
-    c = v[chosen]
-    for _ in range(rounds):
-        own = (v @ c.T).argmax(axis=1)
-        c = np.stack([v[own == j].sum(axis=0) if (own == j).any() else c[j] for j in range(len(c))])
-        c /= np.maximum(np.linalg.norm(c, axis=1, keepdims=True), 1e-12)
-    return c
+        # one row a language
+        got = self._run(each, args, "lang int, score double, tf binary", lambda x: x.groupBy("lang").agg(F.min(F.struct("score", "tf")).alias("best")).collect())
+        return {r["lang"]: _unpacked(bytes(r["best"]["tf"])) for r in got}
+
+
+def _learned(rows: _Array | _Table, sizes: dict[str, int], k: int) -> Model:
+    """A model of all rows, of which each language has so many, with a reach of anything.
+
+    Spherical k-means by language: started from the row nearest to the mean and from rows far from those
+    chosen; deterministic. It ends when no centroid moves, after ROUNDS at most.
+    """
+    langs = sorted(sizes)
+    if not langs:
+        return Model(np.ones(DIM, np.float32), np.zeros((0, DIM), np.float32), (), np.full(CLASSES, 2.0))
+    idf = (np.log((1 + sum(sizes.values())) / (1 + rows.total(DIM, _frequencies))) + 1).astype(np.float32)
+
+    def whole(c: np.ndarray) -> np.ndarray:
+        return np.rint(c.astype(np.float64) * UNIT)
+
+    def moved(c: np.ndarray) -> np.ndarray:
+        total = rows.total(c.size, _moved, idf, whole(c)).reshape(c.shape).astype(np.float64)
+        return np.where(total.any(axis=2, keepdims=True), total / np.maximum(np.linalg.norm(total, axis=2, keepdims=True), 1e-12), c).astype(np.float32)
+
+    mean = moved(np.zeros((1, len(langs), DIM), np.float32))
+    c = np.zeros((k, len(langs), DIM), np.float32)  # one of zeros is never nearer than one before it
+    for j in range(k):
+        found = rows.least(_nearness, idf, *((whole(c[:j]), 1) if j else (whole(mean), -1)))
+        for x, tf in found.items():
+            if j < sizes[langs[x]]:
+                c[j, x] = vectors(tf[None].astype(np.int64), idf)[0]
+    for _ in range(ROUNDS):
+        before, c = c, moved(c)
+        if (before == c).all():
+            break
+    own = [(x, j) for x, lang in enumerate(langs) for j in range(min(k, sizes[lang]))]
+    return Model(idf, np.stack([c[j, x] for x, j in own]), tuple(langs[x] for x, _ in own), np.full(CLASSES, 2.0))
 
 
 def train(tf: np.ndarray, langs: list[str], k: int = CENTROIDS) -> Model:
     """A model of rows of counts and their languages, with a reach of anything."""
-    df = (tf > 0).sum(axis=0)
-    idf = (np.log((1 + len(tf)) / (1 + df)) + 1).astype(np.float32)
-    v, centroids, names = vectors(tf, idf), [np.zeros((0, DIM), np.float32)], []
-    labels = np.array(langs, object)
-    for lang in sorted(set(langs)):
-        centroids.append(cluster(v[labels == lang], k))
-        names += [lang] * len(centroids[-1])
-    return Model(idf, np.concatenate(centroids), tuple(names), np.full(CLASSES, 2.0))
+    sizes = {x: langs.count(x) for x in sorted(set(langs))}
+    numbers = {x: i for i, x in enumerate(sizes)}
+    return _learned(_Array(np.array([numbers[x] for x in langs], np.int64), tf), sizes, k)
 
 
 def reach(n: np.ndarray) -> np.ndarray:
-    """Reach by class of counted distances: the farthest whole text, or what SHARE of the excerpts keep within, and the margin.
+    """Reach by class of counted distances: the farthest whole text, or what SHARE of the pieces keep within, and the margin.
 
     A shorter text may always lie as far as a longer one. A class longer than all that was seen has the
     reach of the longest seen.
@@ -173,53 +389,55 @@ def reach(n: np.ndarray) -> np.ndarray:
 def _with_counts(docs: DataFrame) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [counts(x.as_py() or "") for x in b.column("text")]
-            tf = pa.array([None if x is None else x.astype(np.int32).tobytes() for x in got], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column("lang"), tf], names=["lang", "tf"])
+            for i in range(0, len(b), SLICE):
+                part = b.slice(i, SLICE)
+                got = [counts(x.as_py()) for x in part.column("text")]
+                tf = pa.array([None if x is None else _packed(x) for x in got], pa.binary())
+                yield pa.RecordBatch.from_arrays([part.column("lang"), tf], names=["lang", "tf"])
+
+    return docs.select("lang", "text").mapInArrow(each, "lang string, tf binary").where("tf is not null")
 
-    return docs.select("lang", "text").mapInArrow(each, "lang string, tf binary")
 
+def _distances(docs: DataFrame, model: Model) -> np.ndarray:
+    """What Model.distances counts, over all rows."""
+    shared, n = docs.sparkSession.sparkContext.broadcast(model), np.zeros((CLASSES, 2, STEPS + 1), np.int64)
 
-def _distances(docs: DataFrame, model: Model) -> DataFrame:
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((CLASSES, 2, STEPS + 1), np.int64)
         for b in batches:
             for text, lang in zip(b.column("text"), b.column("lang"), strict=True):
-                n += model.distances(text.as_py(), lang.as_py())
+                shared.value.distances(text.as_py(), lang.as_py(), n)
         at = np.flatnonzero(n)
         yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.reshape(-1)[at])], names=["at", "n"])
 
-    return docs.select("lang", "text").mapInArrow(each, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    got = docs.select("lang", "text").mapInArrow(each, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
+    for r in got.collect():  # at most one row for each class and step
+        n.reshape(-1)[r["at"]] = r["n"]
+    shared.destroy()
+    return n
 
 
-def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE, k: int = CENTROIDS) -> Model:
-    """Learns from labelled rows: of each language the `sample` rows of smallest text hash.
+def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", k: int = CENTROIDS) -> Model:
+    """Learns from all labelled rows.
 
-    Rows without a language, without a text or without a letter teach nothing; repeated texts count
-    once. The first pass counts each language's texts; the second keeps only rows below a bound on the
-    hash, about 4 * `sample` a language, by one look into a literal map, and ranks those. The sample
-    is written, as it is read twice: for the centroids, and for the reach. No labelled row at all gives
-    a model that rejects everything. Languages are taken to be few (hundreds).
+    Rows without a language, without a text or without a letter teach nothing; repeated texts of a
+    language count once. Texts whose hash comes once are left where they are; only others meet. Counts are written, as
+    each round reads them; the labelled rows are read four times. No labelled row at all gives a model
+    that rejects everything. Languages are taken to be few (hundreds).
     """
     rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
     rows = rows.withColumn("h", F.xxhash64("text"))
-    # hashes are uniform, so the smallest share of them holds the sample, four times over; no language is ranked whole
-    sizes = rows.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()  # one row a language
-    if not sizes:
-        return train(np.zeros((0, DIM), np.int32), [], k)
-    bounds = {r["lang"]: -(1 << 63) + min((1 << 64) - 1, (1 << 64) * 4 * sample // max(1, r["n"])) for r in sizes}
-    bound = F.create_map(*(F.lit(x) for pair in bounds.items() for x in pair)).cast("map<string,bigint>")  # folded to one literal
-    near = rows.where(F.col("h") <= bound[F.col("lang")]).dropDuplicates(["lang", "h"])
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("n") <= sample)
-    near = common.written(near.select("lang", "text"), "training")
-    got = _with_counts(near).where("tf is not null").orderBy("lang", "tf").collect()
-    tf = np.array([np.frombuffer(r["tf"], np.int32) for r in got]).reshape(-1, DIM)
-    model, n = train(tf, [r["lang"] for r in got], k), np.zeros((CLASSES, 2, STEPS + 1), np.int64)
-    if got:
-        for r in _distances(near, model).collect():  # at most one row for each class and step
-            n.reshape(-1)[r["at"]] = r["n"]
-    common.drop_written(near)
-    return Model(model.idf, model.centroids, model.langs, reach(n))
+    again = common.written(rows.groupBy("lang", "h").count().where("count > 1").select("lang", "h"), "again")
+    texts = rows.join(again, ["lang", "h"], "left_anti").select("lang", "text")
+    texts = texts.union(rows.join(again, ["lang", "h"], "left_semi").select("lang", "text").distinct())
+    near = common.written(_with_counts(texts), "training")
+    sizes = {r["lang"]: r["count"] for r in near.groupBy("lang").count().collect()}  # one row a language
+    model = _learned(_Table(near, sorted(sizes)), sizes, k)
+    if sizes:
+        model = Model(model.idf, model.centroids, model.langs, reach(_distances(texts, model)))
+    for x in (near, again):
+        common.drop_written(x)
+    return model
 
 
 def held_out(doc_id: Column) -> Column:
