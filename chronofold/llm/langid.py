@@ -65,12 +65,22 @@ def _squeezed(text: str) -> Iterator[np.ndarray]:
         yield np.append(new, np.uint32(32)) if before and i + STRIP >= len(text) else new
 
 
+def _two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)
+
+
+def _three(two: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return two * np.uint32(0xC2B2AE3D) + c * np.uint32(0x27D4EB2F) + np.uint32(1)
+
+
+def _bucket(gram: np.ndarray) -> np.ndarray:
+    return (gram * np.uint32(0x165667B1) >> np.uint32(33 - DIM.bit_length())).view(np.int32)
+
+
 def _buckets(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the n-grams of 2 and of 3 that begin at each character."""
-    two = a[:-1] * np.uint32(0x9E3779B1) + a[1:] * np.uint32(0x85EBCA77)
-    three = two[:-1] * np.uint32(0xC2B2AE3D) + a[2:] * np.uint32(0x27D4EB2F) + np.uint32(1)
-    shift, mix = np.uint32(32 - (DIM.bit_length() - 1)), np.uint32(0x165667B1)
-    return two * mix >> shift, three * mix >> shift
+    two = _two(a[:-1], a[1:])
+    return _bucket(two), _bucket(_three(two[:-1], a[2:]))
 
 
 def counts(text: str) -> np.ndarray | None:
@@ -102,26 +112,35 @@ def _logs() -> np.ndarray:
     return (1 + np.log(np.maximum(np.arange(2 * BLOCK + 3), 1))).astype(np.float32)
 
 
-_EDGE = np.uint32(1 << 31 | 32)
-
-
 def _cut(x: np.ndarray, sizes: list[int]) -> np.ndarray:
     """Characters cut into consecutive pieces, for each of the sizes: piece * DIM + bucket of all their n-grams.
 
-    A piece has a space at either end, which neighbours share; one that is a space itself has no n-gram.
+    A piece has one space at either end, its own or one more; one that is a space itself has no n-gram.
     """
-    found, pieces = [], 0
+    space, place, found, pieces = np.array([32], np.uint32), np.arange(len(x), dtype=np.int32), [], 0
+    two, begun = _two(x[:-1], x[1:]), _two(space, x)
+    inner, inner3 = _bucket(two), _bucket(_three(two[:-1], x[2:]))
+    # n-grams that begin with a space before a character, end with one after it, or both
+    before, before3 = _bucket(begun), _bucket(_three(begun, np.append(x[1:], space)))
+    after, after3 = _bucket(_two(x, space)), _bucket(_three(np.append(begun[:1], two), space))
+    alone = _bucket(_three(begun, space))
     for n in sizes:
-        at = np.concatenate([np.arange(0, len(x), n), [len(x)]])
-        z = x.copy()
-        left, right = np.append(False, x[at[1:] - 1] == 32), np.append(x[at[:-1]] == 32, False)
-        z[at[left] - 1] = z[at[right]] = _EDGE
-        z = np.insert(z, at[~(left | right)], _EDGE)
-        edge = z >> np.uint32(31)
-        piece = (np.cumsum(edge, dtype=np.int32) + np.int32(pieces - 1)) * np.int32(DIM)
-        two, three = _buckets(z & np.uint32(0x7FFFFFFF))
-        found += [piece[:-1] + two.view(np.int32), (piece[:-2] + three.view(np.int32))[edge[1:-1] == 0]]
-        pieces += len(at)
+        piece = ((place >> (n.bit_length() - 1)) + np.int32(pieces)) * np.int32(DIM)
+        if n > 1:
+            whole = np.ones(len(x), bool)
+            whole[n - 1 :: n] = False
+            found.append((piece[:-1] + inner)[whole[:-1]])
+        if n > 2:
+            whole[n - 2 :: n] = False
+            found.append((piece[:-2] + inner3)[whole[:-2]])
+        first = np.arange(0, len(x), n)
+        last = np.append(first[1:] - 1, len(x) - 1)
+        first, last = first[x[first] != 32], last[x[last] != 32]
+        found += [piece[first] + before[first], piece[last] + after[last]]
+        found.append(piece[first] + np.where((first == len(x) - 1) | (n == 1), alone[first], before3[first]))
+        last = last[last % n != 0]
+        found.append(piece[last] + after3[last])
+        pieces += -(-len(x) // n)
     return np.concatenate(found)
 
 
@@ -179,19 +198,26 @@ class Model:
         if not len(found):
             return
         found.sort()
-        first = np.flatnonzero(np.append(True, found[1:] != found[:-1]))
-        times, found = np.diff(first, append=len(found)), found[first]
+        first = _starts(found)
+        w, found = _logs().take(np.diff(first, append=len(found))), found.take(first)
         bucket, piece = found & (DIM - 1), found >> (DIM.bit_length() - 1)
-        w = _logs()[times] * self.idf[bucket]
-        begin = np.flatnonzero(np.append(True, piece[1:] != piece[:-1]))
-        cosine = np.add.reduceat(w * own[0][bucket], begin)
+        w *= self.idf.take(bucket)
+        begin = _starts(piece)
+        cosine = np.add.reduceat(w * own[0].take(bucket), begin)
         for c in own[1:]:
-            np.maximum(cosine, np.add.reduceat(w * c[bucket], begin), out=cosine)
+            np.maximum(cosine, np.add.reduceat(w * c.take(bucket), begin), out=cosine)
         far = 1 - cosine / np.sqrt(np.add.reduceat(w * w, begin))
         kind = _CLASS[np.diff(begin, append=len(piece))]
         n[:, 0] += np.bincount(kind * (STEPS + 1) + _step(far), minlength=CLASSES * (STEPS + 1)).reshape(CLASSES, -1)
 
 
+def _starts(a: np.ndarray) -> np.ndarray:
+    """Where another value begins."""
+    new = np.ones(len(a), bool)
+    np.not_equal(a[1:], a[:-1], out=new[1:])
+    return np.flatnonzero(new)
+
+
 def _step(far: np.ndarray | float) -> np.ndarray:
     return np.ceil(np.clip(far, 0.0, 1.0) * STEPS).astype(np.int64)
 
