@@ -45,6 +45,8 @@ MARGIN, SHARE = 0.1, 0.99
 CLASSES = DIM.bit_length() + 1
 #: Steps of the histogram of distances, which go from 0 to 1.
 STEPS = 1000
+#: Numbers of a task's sums that make one row.
+WIDE = 32
 UNKNOWN = "und"
 
 
@@ -292,6 +294,27 @@ def _least(slices: Iterator[tuple[np.ndarray, np.ndarray]], f: Callable, args: t
     return best
 
 
+def _wide(n: np.ndarray) -> pa.RecordBatch:
+    """Sums as rows of WIDE numbers, without the rows that are all 0."""
+    n = np.pad(n.reshape(-1), (0, -n.size % WIDE)).reshape(-1, WIDE)
+    block = np.flatnonzero(n.any(axis=1))
+    columns = [pa.array(block), *(pa.array(x) for x in np.ascontiguousarray(n[block].T))]
+    return pa.RecordBatch.from_arrays(columns, names=["block", *(f"n{i}" for i in range(WIDE))])
+
+
+def _summed(rows: DataFrame, each: Callable, size: int) -> np.ndarray:
+    """The sum of what each(batches) gives for every task: so many whole numbers, which are sent on as _wide."""
+
+    def one(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield _wide(each(batches))
+
+    names, n = [f"n{i}" for i in range(WIDE)], np.zeros(size + -size % WIDE, np.int64)
+    got = rows.mapInArrow(one, ", ".join(f"{x} bigint" for x in ["block", *names]))
+    got = got.groupBy("block").agg(*(F.sum(x).alias(x) for x in names)).toArrow()
+    n.reshape(-1, WIDE)[got["block"].to_numpy()] = np.stack([got[x].to_numpy() for x in names], axis=1)
+    return n[:size]
+
+
 class _Array:
     """Training rows in memory: numbers of languages, and counts."""
 
@@ -311,8 +334,8 @@ class _Table:
     def __init__(self, rows: DataFrame, langs: list[str]) -> None:
         self.rows, self.numbers = rows, {x: i for i, x in enumerate(langs)}
 
-    def _run(self, f: Callable, args: tuple, schema: str, then: Callable[[DataFrame], object]) -> object:
-        """What f(slices, args) gives of each task's rows, and then makes of it."""
+    def _run(self, f: Callable, args: tuple, then: Callable[[Callable], object]) -> object:
+        """What then makes of a function from batches to f(slices, args)."""
         numbers, shared = self.numbers, self.rows.sparkSession.sparkContext.broadcast(args)
 
         def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -322,24 +345,18 @@ class _Table:
                     lang = np.array([numbers[x] for x in part.column("lang").to_pylist()])
                     yield lang, np.stack([_unpacked(x) for x in part.column("tf").to_pylist()])
 
-        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            yield from f(slices(batches), shared.value)
-
-        got = then(self.rows.mapInArrow(each, schema))
+        got = then(lambda batches: f(slices(batches), shared.value))
         shared.destroy()
         return got
 
     def total(self, size: int, f: Callable, *args) -> np.ndarray:
-        def each(slices: Iterator, args: tuple) -> Iterator[pa.RecordBatch]:
+        def each(slices: Iterator, args: tuple) -> np.ndarray:
             n = np.zeros(size, np.int64)
             for x in slices:
                 n += f(*x, *args)
-            at = np.flatnonzero(n)
-            yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(n[at])], names=["at", "n"])
+            return n
 
-        got, n = self._run(each, args, "at bigint, n bigint", lambda x: x.groupBy("at").agg(F.sum("n").alias("n")).toArrow()), np.zeros(size, np.int64)
-        n[got["at"].to_numpy()] = got["n"].to_numpy()
-        return n
+        return self._run(each, args, lambda of: _summed(self.rows, of, size))
 
     def least(self, f: Callable, *args) -> dict[int, np.ndarray]:
         def each(slices: Iterator, args: tuple) -> Iterator[pa.RecordBatch]:
@@ -349,7 +366,7 @@ class _Table:
                 yield pa.RecordBatch.from_arrays(columns, names=["lang", "score", "tf"])
 
         # one row a language
-        got = self._run(each, args, "lang int, score double, tf binary", lambda x: x.groupBy("lang").agg(F.min(F.struct("score", "tf")).alias("best")).collect())
+        got = self._run(each, args, lambda of: self.rows.mapInArrow(of, "lang int, score double, tf binary").groupBy("lang").agg(F.min(F.struct("score", "tf")).alias("best")).collect())
         return {r["lang"]: _unpacked(bytes(r["best"]["tf"])) for r in got}
 
 
@@ -426,21 +443,18 @@ def _with_counts(docs: DataFrame) -> DataFrame:
 
 def _distances(docs: DataFrame, model: Model) -> np.ndarray:
     """What Model.distances counts, over all rows."""
-    shared, n = docs.sparkSession.sparkContext.broadcast(model), np.zeros((CLASSES, 2, STEPS + 1), np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def each(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         n = np.zeros((CLASSES, 2, STEPS + 1), np.int64)
         for b in batches:
             for text, lang in zip(b.column("text"), b.column("lang"), strict=True):
                 shared.value.distances(text.as_py(), lang.as_py(), n)
-        at = np.flatnonzero(n)
-        yield pa.RecordBatch.from_arrays([pa.array(at.astype(np.int32)), pa.array(n.reshape(-1)[at])], names=["at", "n"])
+        return n
 
-    got = docs.select("lang", "text").mapInArrow(each, "at int, n bigint").groupBy("at").agg(F.sum("n").alias("n"))
-    for r in got.collect():  # at most one row for each class and step
-        n.reshape(-1)[r["at"]] = r["n"]
+    n = _summed(docs.select("lang", "text"), each, CLASSES * 2 * (STEPS + 1))
     shared.destroy()
-    return n
+    return n.reshape(CLASSES, 2, STEPS + 1)
 
 
 def fit(labelled: DataFrame, text: str = "text", lang: str = "lang", k: int = CENTROIDS) -> Model:

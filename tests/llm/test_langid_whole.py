@@ -85,3 +85,22 @@ def test_pieces_by_definition(monkeypatch, block):
             steps = np.repeat(np.arange(langid.STEPS + 1), got[:, whole].sum(axis=0)) / langid.STEPS
             assert np.allclose(steps, np.clip(sorted(far[whole]), 0, 1), atol=1.01 / langid.STEPS), text
     langid._logs.cache_clear()
+
+
+def test_tasks_send_few_rows(spark, monkeypatch):
+    """Of sums and distances a task sends on a few hundred rows, however its texts differ."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("text", "lang").where("lang is not null and text is not null").repartition(16)
+    made, before = [], type(docs).mapInArrow
+
+    def counted(self, *args):
+        made.append((got := before(self, *args)).count())
+        return got
+
+    model = langid.fit(docs)
+    monkeypatch.setattr(type(docs), "mapInArrow", counted)
+    got = langid._distances(docs, model)
+    want = np.zeros_like(got)
+    for r in docs.collect():
+        model.distances(r["text"], r["lang"], want)
+    assert (got == want).all()
+    assert len(made) == 1 and made[0] <= 16 * 300
