@@ -19,7 +19,7 @@ bounded and no n-gram is lost.
 from __future__ import annotations
 
 import sys
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -35,8 +35,12 @@ from chronofold.llm import common
 DIM, CENTROIDS, ROUNDS = 4096, 3, 12
 #: Characters of a text that are turned to n-grams at once.
 STRIP = 1 << 20
-#: Characters whose pieces are sorted at once (a power of two); rows of counts that are weighed at once.
-BLOCK, SLICE = 1 << 15, 128
+#: Characters of a text whose pieces are cut at once (a power of two); rows of counts that are weighed at once.
+BLOCK, SLICE = 1 << 15, 256
+#: Characters, with what fills up texts to powers of two, that are sorted at once (2**17 at most); characters of texts that are cut together.
+PLACES, TOGETHER = 1 << 16, 1 << 21
+#: Pieces from this power of two on are counted by sorting; of shorter ones, each different one is looked at once.
+SHORT = 3
 #: Weights are summed as integers, in parts of 1; a product of two is exact in float64.
 UNIT = 1 << 26
 #: What a text may lie farther (1 - cosine) from its centroid than training texts of its length; the share of pieces that counts.
@@ -104,46 +108,209 @@ def vectors(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
     return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
 
 
+def _vector(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
+    """A row of counts as TF-IDF of length 1."""
+    v, at = np.zeros(DIM, np.float32), np.flatnonzero(tf)
+    v[at] = (1 + np.log(tf[at])).astype(np.float32) * idf[at]
+    return v / max(np.linalg.norm(v), 1e-12)
+
+
 def _length_class(tf: np.ndarray) -> int:
     return int(np.count_nonzero(tf)).bit_length()
 
 
 @lru_cache(1)
 def _logs() -> np.ndarray:
-    """1 + log of how often an n-gram can occur in a block."""
-    return (1 + np.log(np.maximum(np.arange(2 * BLOCK + 3), 1))).astype(np.float32)
+    """1 + log of how often an n-gram can occur in a block, and 0 of 0."""
+    return np.append(0.0, 1 + np.log(np.arange(1, 2 * BLOCK + 4)))
+
+
+@lru_cache(1)
+def _twos(block: int) -> np.ndarray:
+    """How often 2 divides each place of a block, and of two more; 31 for the first place, which every size begins at."""
+    n = np.arange(block + 3)
+    return np.array([31, *((n[1:] & -n[1:]).astype(np.float64).view(np.int64) >> 52) - 1023])
 
 
-def _cut(x: np.ndarray, sizes: list[int]) -> np.ndarray:
-    """Characters cut into consecutive pieces, for each of the sizes: piece * DIM + bucket of all their n-grams.
+def _columns(pieces: np.ndarray) -> list[np.ndarray]:
+    """Buckets of all n-grams of rows of so many characters, in columns; DIM where there is none.
 
     A piece has one space at either end, its own or one more; one that is a space itself has no n-gram.
     """
-    space, place, found, pieces = np.array([32], np.uint32), np.arange(len(x), dtype=np.int32), [], 0
-    two, begun = _two(x[:-1], x[1:]), _two(space, x)
-    inner, inner3 = _bucket(two), _bucket(_three(two[:-1], x[2:]))
-    # n-grams that begin with a space before a character, end with one after it, or both
-    before, before3 = _bucket(begun), _bucket(_three(begun, np.append(x[1:], space)))
-    after, after3 = _bucket(_two(x, space)), _bucket(_three(np.append(begun[:1], two), space))
-    alone = _bucket(_three(begun, space))
-    for n in sizes:
-        piece = ((place >> (n.bit_length() - 1)) + np.int32(pieces)) * np.int32(DIM)
-        if n > 1:
-            whole = np.ones(len(x), bool)
-            whole[n - 1 :: n] = False
-            found.append((piece[:-1] + inner)[whole[:-1]])
-        if n > 2:
-            whole[n - 2 :: n] = False
-            found.append((piece[:-2] + inner3)[whole[:-2]])
-        first = np.arange(0, len(x), n)
-        last = np.append(first[1:] - 1, len(x) - 1)
-        first, last = first[x[first] != 32], last[x[last] != 32]
-        found += [piece[first] + before[first], piece[last] + after[last]]
-        found.append(piece[first] + np.where((first == len(x) - 1) | (n == 1), alone[first], before3[first]))
-        last = last[last % n != 0]
-        found.append(piece[last] + after3[last])
-        pieces += -(-len(x) // n)
-    return np.concatenate(found)
+    x, space = list(np.ascontiguousarray(pieces.T)), np.array([32], np.uint32)
+    two = [_two(a, b) for a, b in zip(x[:-1], x[1:], strict=True)]
+    found = [_bucket(g) for g in two] + [_bucket(_three(g, c)) for g, c in zip(two[:-1], x[2:], strict=True)]
+    begun = _two(space, x[0])
+    before = [begun, _three(begun, x[1] if len(x) > 1 else space)]
+    after = [_two(x[-1], space), *(_three(g, space) for g in two[-1:])]
+    found += [np.where(x[0] == 32, np.int32(DIM), _bucket(g)) for g in before]
+    return found + [np.where(x[-1] == 32, np.int32(DIM), _bucket(g)) for g in after]
+
+
+def _different(pieces: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different rows of up to four characters, and how often each occurs."""
+    code, width = pieces, 21
+    if pieces.shape[1] == 4:
+        there = np.unique(pieces)
+        if len(there) > 1 << 16:
+            return pieces, np.ones(len(pieces), np.int64)
+        number = np.zeros(int(there[-1]) + 1, np.uint32)
+        number[there] = np.arange(len(there))
+        code, width = number.take(pieces), 16
+    one = np.zeros(len(pieces), np.uint64)
+    for x in code.T:
+        one = one << np.uint64(width) | x
+    one, n = np.unique(one, return_counts=True)
+    code = np.stack([one >> np.uint64(width * i) & np.uint64((1 << width) - 1) for i in reversed(range(pieces.shape[1]))], axis=1)
+    return (there.take(code) if width == 16 else code.astype(np.uint32)), n
+
+
+class _Pieces:
+    """Counts how far pieces of texts of one language lie from the nearest of its centroids, into n by class, whole (1) or not (0), and step.
+
+    An n-gram that a piece has t times weighs 1 + log t. Sums along the text weigh it t, for all sizes at once;
+    what remains is to set right those that a piece has more than once. Weights are in whole UNITs, so sums are
+    exact and a piece counts the same, whatever is beside it.
+    """
+
+    def __init__(self, own: np.ndarray, idf: np.ndarray, n: np.ndarray) -> None:
+        idf = idf.astype(np.float64)
+        self.weights, self.n = np.zeros((len(own) + 1, DIM + 1)), n  # of each centroid, and of the square of the length
+        self.weights[:-1, :-1], self.weights[-1, :-1] = np.rint(own * idf * UNIT), np.rint(idf * idf * UNIT)
+        self.logs = [_logs()] * len(own) + [_logs() ** 2]
+        self.texts: dict[tuple[int, int, bool], list[np.ndarray]] = {}
+        self.short: dict[tuple[int, int], list[np.ndarray]] = {}
+        self.size = 0
+
+    def add(self, x: np.ndarray, width: int, sizes: int, whole: bool) -> None:
+        """Characters, 2**width at most, that are cut by so many sizes: 1, 2, 4, ...; whole also counts all of them as a text."""
+        self.texts.setdefault((width, sizes, whole), []).append(x)
+        self.size += len(x)
+        if self.size >= TOGETHER:
+            self.flush()
+
+    def flush(self) -> None:
+        for (width, sizes, whole), texts in self.texts.items():
+            some = max(1, PLACES >> width)
+            for i in range(0, len(texts), some):
+                self._cut(texts[i : i + some], width, sizes, whole)
+        for (_, whole), pieces in self.short.items():
+            different, times = _different(np.concatenate(pieces))
+            for i in range(0, len(times), BLOCK):
+                self._short(different[i : i + BLOCK], times[i : i + BLOCK], whole)
+        self.texts, self.short, self.size = {}, {}, 0
+
+    def _count(self, sums: list[np.ndarray], grams: np.ndarray, whole: int, times: np.ndarray | None = None) -> None:
+        """Counts pieces by their sums for each centroid and for the length, and the number of their different n-grams."""
+        at = np.flatnonzero(grams)
+        dot = np.maximum.reduce([x[at] for x in sums[:-1]])
+        step = _step(1 - dot / UNIT / np.sqrt(sums[-1][at] / UNIT))
+        kind = _CLASS[grams[at]] * (STEPS + 1) + step
+        n = np.bincount(kind, None if times is None else times[at], CLASSES * (STEPS + 1))
+        self.n[:, whole] += n.astype(np.int64).reshape(CLASSES, -1)
+
+    def _short(self, pieces: np.ndarray, times: np.ndarray, whole: int) -> None:
+        columns = _columns(pieces)
+        grams, sums = np.zeros(len(pieces), np.int64), [np.zeros(len(pieces)) for _ in self.weights]
+        for i, x in enumerate(columns):
+            first, tf = x < DIM, np.zeros(len(x), np.int64)
+            for j, y in enumerate(columns):
+                tf += (same := x == y)
+                if j < i:
+                    first &= ~same
+            grams += first
+            for weights, total, log in zip(self.weights, sums, self.logs, strict=True):
+                total += np.rint(weights.take(x) * log.take(tf)) * first
+        self._count(sums, grams, whole, times)
+
+    def _cut(self, texts: list[np.ndarray], width: int, sizes: int, whole: bool) -> None:
+        x, long = np.concatenate(texts), np.array([len(t) for t in texts])
+        begin = np.cumsum(long) - long
+        off = np.arange(len(x)) - np.repeat(begin, long)
+        left = np.repeat(long, long) - off  # characters from here on
+        for k in range(min(sizes, SHORT)):
+            self._shorter(x, off, left, 1 << k, 0)
+        powers = [(k, 0) for k in range(SHORT, sizes)]
+        if whole and (1 << width) > 1 << (SHORT - 1):
+            powers.append((width, 1))
+        elif whole:
+            self._shorter(x, off, left, 1 << width, 1)
+        if not powers:
+            return
+        # buckets of the n-grams from each character on; after the last ones of a text they mean nothing
+        last, space = left == 1, np.array([32], np.uint32)
+        follows = np.append(x[1:], space)
+        follows[last] = 32
+        two, begun = _two(x, follows), _two(space, x)
+        inner, inner3 = _bucket(two), _bucket(_three(two, np.append(follows[1:], space)))
+        before, before3 = _bucket(begun), _bucket(_three(begun, follows))
+        after, after3 = _bucket(_two(x, space)), _bucket(_three(np.append(begun[:1], two[:-1]), space))
+        # each n-gram with the sizes that it counts for, from one power of two to another; 31 is none
+        twos, place = _twos(BLOCK), (np.repeat(np.arange(len(texts)), long) << width | off) << 10
+        ends, letter = twos.take(off + 1), x != 32
+        first = np.flatnonzero(letter & (off & ((1 << SHORT) - 1) == 0))
+        end = np.flatnonzero(letter & ((ends >= SHORT) | last))
+        end3 = end[off[end] > 0]
+        until, since = np.where(last, 31, ends), np.where(last, twos.take(off) + 1, 0)
+        found = [inner.astype(np.int64) << 27 | place | np.where(last, 31, ends + 1) << 5 | 31]
+        found.append(inner3.astype(np.int64) << 27 | place | np.where(left < 3, 31, np.maximum(ends, twos.take(off + 2)) + 1) << 5 | 31)
+        for bucket, at, sizes_of in (
+            (before, first, twos.take(off[first])),
+            (before3, first, twos.take(off[first])),
+            (after, end, until[end]),
+            (after3, end3, since[end3] << 5 | until[end3]),
+        ):
+            found.append(bucket[at].astype(np.int64) << 27 | place[at] | sizes_of)
+        keys = np.concatenate(found)
+        keys.sort()
+        since, until = (keys >> 5 & 31).astype(np.int8), (keys & 31).astype(np.int8)
+        keys = (keys >> 10).astype(np.int32)  # bucket << 17 | place
+        along = []
+        for weights in self.weights:
+            along.append(np.zeros(len(x) + 1))
+            np.cumsum(weights.take(inner) + weights.take(inner3), out=along[-1][1:])
+        first = np.flatnonzero(off & ((1 << SHORT) - 1) == 0)
+        for k, kind in powers:
+            first = first[off[first] & ((1 << k) - 1) == 0]
+            self._sized(k, kind, x, first, place[first] >> (10 + k), along, (inner, before, before3, after, after3), keys[(since <= k) & (until >= k)])
+
+    def _shorter(self, x: np.ndarray, off: np.ndarray, left: np.ndarray, n: int, whole: int) -> None:
+        """Keeps the pieces of n characters, and the shorter last ones, for flush."""
+        if n == 1:
+            self.short.setdefault((1, whole), []).append(x[:, None])
+            return
+        begin = np.flatnonzero(off & (n - 1) == 0)
+        size = np.minimum(left[begin], n)
+        for m in range(1, n + 1):
+            if len(at := begin[size == m]):
+                self.short.setdefault((m, whole), []).append(x[at[:, None] + np.arange(m)])
+
+    def _sized(self, k: int, whole: int, x: np.ndarray, first: np.ndarray, piece: np.ndarray, along: list[np.ndarray], buckets: tuple, keys: np.ndarray) -> None:
+        """Counts pieces of 2**k characters, which begin at first: keys are bucket << 17 | place of their n-grams, in order."""
+        inner, before, before3, after, after3 = buckets
+        last = np.append(first[1:], len(x)) - 1
+        size = last - first
+        opens, closes = x[first] != 32, x[last] != 32
+        closes3, back = closes & (size > 0), np.maximum(last - 1, first)
+        grams = size + np.maximum(size - 1, 0) + 2 * opens + closes + closes3
+        # n-grams that a piece has more than once, and how often
+        keys >>= k
+        again = np.flatnonzero(keys[1:] == keys[:-1])
+        new = np.ones(len(again), bool)
+        np.not_equal(again[1:], again[:-1] + 1, out=new[1:])
+        start = np.flatnonzero(new)
+        times = np.append(start[1:], len(again))[: len(start)] - start + 1
+        key = keys.take(again.take(start))
+        bucket, of = key >> (17 - k), key & ((1 << (17 - k)) - 1)
+        most, sums = int(piece[-1]) + 1, []
+        grams = grams - np.bincount(of, times - 1, most)[piece].astype(np.int64)
+        for weights, total, log in zip(self.weights, along, self.logs, strict=True):
+            got = total[back] - total[first] + weights.take(inner[back]) * (size > 0)
+            got += (weights.take(before[first]) + weights.take(before3[first])) * opens
+            got += weights.take(after[last]) * closes + weights.take(after3[last]) * closes3
+            more = np.rint(weights.take(bucket) * (log.take(times) - times))
+            sums.append(got + np.bincount(of, more, most)[piece])
+        self._count(sums, grams, whole)
 
 
 @dataclass(frozen=True)
@@ -163,7 +330,7 @@ class Model:
         tf = counts(text or "")
         if tf is None or not self.langs:
             return UNKNOWN, 0.0, True
-        cosine = self.centroids @ vectors(tf[None], self.idf)[0]
+        cosine = self.centroids @ _vector(tf, self.idf)
         best = int(cosine.argmax())
         score = float(min(1.0, max(0.0, cosine[best])))
         return self.langs[best], score, bool(1 - score > self.reach[_length_class(tf)])
@@ -174,50 +341,36 @@ class Model:
         The pieces are consecutive ones of 1, 2, 4, ... letters and spaces between them, the last of each
         length being what is left, as long as that cuts the text. Texts over STRIP are cut strip by strip.
         """
-        if (tf := counts(text)) is None:
-            return
+        self.spread([text], lang, n)
+
+    def spread(self, texts: Iterable[str], lang: str, n: np.ndarray) -> None:
+        """As distances, of texts of one language."""
         own = self.centroids[[x == lang for x in self.langs]]
+        pieces = _Pieces(own, self.idf, n)
 
         def add(tf: np.ndarray, whole: int) -> None:
-            far = 1 - float((own @ vectors(tf[None], self.idf)[0]).max())
+            far = 1 - float((own @ _vector(tf, self.idf)).max())
             n[_length_class(tf), whole, _step(far)] += 1
 
-        add(tf, 1)
-        for x in _squeezed(text):
-            sizes = [1 << i for i in range((len(x) - 1).bit_length())] if len(x) else []
-            for i in range(0, len(x), BLOCK):
-                if short := [size for size in sizes if size <= BLOCK]:
-                    self._distances(_cut(x[i : i + BLOCK], short), own, n)
-            for size in (size for size in sizes if size > BLOCK):
-                for i in range(0, len(x), size):
-                    a = x[i : i + size]
-                    two, three = _buckets(np.concatenate([[32] * int(a[0] != 32), a, [32] * int(a[-1] != 32)]).astype(np.uint32))
-                    if len(two):
-                        add(np.bincount(two, minlength=DIM) + np.bincount(three, minlength=DIM), 0)
-
-    def _distances(self, found: np.ndarray, own: np.ndarray, n: np.ndarray) -> None:
-        """As distances, of pieces given by their n-grams."""
-        if not len(found):
-            return
-        found.sort()
-        first = _starts(found)
-        w, found = _logs().take(np.diff(first, append=len(found))), found.take(first)
-        bucket, piece = found & (DIM - 1), found >> (DIM.bit_length() - 1)
-        w *= self.idf.take(bucket)
-        begin = _starts(piece)
-        cosine = np.add.reduceat(w * own[0].take(bucket), begin)
-        for c in own[1:]:
-            np.maximum(cosine, np.add.reduceat(w * c.take(bucket), begin), out=cosine)
-        far = 1 - cosine / np.sqrt(np.add.reduceat(w * w, begin))
-        kind = _CLASS[np.diff(begin, append=len(piece))]
-        n[:, 0] += np.bincount(kind * (STEPS + 1) + _step(far), minlength=CLASSES * (STEPS + 1)).reshape(CLASSES, -1)
-
-
-def _starts(a: np.ndarray) -> np.ndarray:
-    """Where another value begins."""
-    new = np.ones(len(a), bool)
-    np.not_equal(a[1:], a[:-1], out=new[1:])
-    return np.flatnonzero(new)
+        for text in texts:
+            short = len(text) <= BLOCK and len(text.lower()) < min(BLOCK, STRIP)  # in one block with the space after it
+            if not short and (tf := counts(text)) is not None:
+                add(tf, 1)
+            for x in _squeezed(text):
+                sizes = (len(x) - 1).bit_length() if len(x) else 0
+                if short:
+                    if len(x):
+                        pieces.add(x, sizes, sizes, True)
+                    continue
+                for i in range(0, len(x), BLOCK):
+                    pieces.add(x[i : i + BLOCK], BLOCK.bit_length() - 1, min(sizes, BLOCK.bit_length()), False)
+                for size in (1 << k for k in range(BLOCK.bit_length(), sizes)):
+                    for i in range(0, len(x), size):
+                        a = x[i : i + size]
+                        two, three = _buckets(np.concatenate([[32] * int(a[0] != 32), a, [32] * int(a[-1] != 32)]).astype(np.uint32))
+                        if len(two):
+                            add(np.bincount(two, minlength=DIM) + np.bincount(three, minlength=DIM), 0)
+        pieces.flush()
 
 
 def _step(far: np.ndarray | float) -> np.ndarray:
@@ -243,57 +396,90 @@ def _few() -> np.ndarray:
     return np.append(0.0, 1 + np.log(np.arange(1, 256)))
 
 
-def _weights(tf: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    """Rows of counts as TF-IDF of length 1, in whole UNITs."""
-    v = _few()[np.minimum(tf, 255)]
-    if (many := tf > 255).any():
-        v[many] = 1 + np.log(tf[many].astype(np.float64))
-    v *= idf
-    v *= (UNIT / np.sqrt(np.einsum("ij,ij->i", v, v)))[:, None]
+@dataclass(frozen=True)
+class _Rows:
+    """Training rows: the language of each, where it begins in what follows, the buckets that it has, in order, and how often."""
+
+    lang: np.ndarray
+    begin: np.ndarray
+    at: np.ndarray
+    n: np.ndarray
+
+    def each(self, of_rows: np.ndarray) -> np.ndarray:
+        """A value of each row, for each of its buckets."""
+        return np.repeat(of_rows, np.diff(self.begin, append=len(self.at)))
+
+    def dense(self, i: int) -> np.ndarray:
+        tf, part = np.zeros(DIM, np.int64), slice(self.begin[i], self.begin[i + 1] if i + 1 < len(self.begin) else None)
+        tf[self.at[part]] = self.n[part]
+        return tf
+
+
+def _weights(rows: _Rows, idf: np.ndarray) -> np.ndarray:
+    """Counts as TF-IDF of length 1, in whole UNITs."""
+    v = _few().take(np.minimum(rows.n, 255))
+    if len(many := np.flatnonzero(rows.n > 255)):
+        v[many] = 1 + np.log(rows.n[many].astype(np.float64))
+    v *= idf.take(rows.at)
+    v *= rows.each(UNIT / np.sqrt(np.add.reduceat(v * v, rows.begin)))
     return np.rint(v, out=v)
 
 
-def _cosines(lang: np.ndarray, v: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _cosines(rows: _Rows, v: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Cosine of each row with its language's centroids c[., lang], all in whole UNITs: exact, so whatever is beside a row."""
-    got = np.empty((len(c), len(lang)))
-    for x in set(lang.tolist()):
-        at = np.flatnonzero(lang == x)
-        got[:, at] = c[:, x] @ v[at].T
-    return got
+    at = rows.each(rows.lang * DIM) + rows.at
+    return np.stack([np.add.reduceat(v * x.reshape(-1).take(at), rows.begin) for x in c])
 
 
-def _frequencies(lang: np.ndarray, tf: np.ndarray) -> np.ndarray:
+def _frequencies(rows: _Rows) -> np.ndarray:
     """In how many rows each bucket occurs."""
-    return (tf > 0).sum(axis=0)
+    return np.bincount(rows.at, minlength=DIM)
 
 
-def _moved(lang: np.ndarray, tf: np.ndarray, idf: np.ndarray, c: np.ndarray) -> np.ndarray:
+def _moved(rows: _Rows, idf: np.ndarray, c: np.ndarray) -> np.ndarray:
     """Sums of the rows that are nearest to each centroid, the first of equal ones, in UNITs."""
-    v, total = _weights(tf, idf), np.zeros(c.shape)
-    own = _cosines(lang, v, c).argmax(axis=0)
-    for x in set(lang.tolist()):
-        at = np.flatnonzero(lang == x)
-        total[:, x] = (own[at] == np.arange(len(c))[:, None]).astype(np.float64) @ v[at]
-    return total.reshape(-1).astype(np.int64)
+    v = _weights(rows, idf)
+    own = _cosines(rows, v, c).argmax(axis=0) if len(c) > 1 else 0
+    return np.bincount(rows.each((own * c.shape[1] + rows.lang) * DIM) + rows.at, v, c.size).astype(np.int64)
 
 
-def _nearness(lang: np.ndarray, tf: np.ndarray, idf: np.ndarray, c: np.ndarray, sign: int) -> np.ndarray:
+def _nearness(rows: _Rows, idf: np.ndarray, c: np.ndarray, sign: int) -> np.ndarray:
     """Each row's cosine with the nearest of the centroids, times the sign."""
-    return sign * _cosines(lang, _weights(tf, idf), c).max(axis=0)
+    return sign * _cosines(rows, _weights(rows, idf), c).max(axis=0)
 
 
-def _least(slices: Iterator[tuple[np.ndarray, np.ndarray]], f: Callable, args: tuple) -> dict[int, tuple[float, bytes]]:
+def _least(slices: Iterator[_Rows], f: Callable, args: tuple) -> dict[int, tuple[float, bytes]]:
     """Of each language the row with the least f, of equal ones the first by its counts."""
     best = {}
-    for lang, tf in slices:
-        of = f(lang, tf, *args)
-        for x in set(lang.tolist()):
-            low = of[lang == x].min()
-            here = min((float(low), _packed(tf[i])) for i in np.flatnonzero((lang == x) & (of == low)))
+    for rows in slices:
+        of = f(rows, *args)
+        for x in set(rows.lang.tolist()):
+            low = of[rows.lang == x].min()
+            here = min((float(low), _packed(rows.dense(i))) for i in np.flatnonzero((rows.lang == x) & (of == low)))
             best[x] = min(best.get(x, here), here)
     return best
 
 
+#: Columns of a table of training rows: buckets in 2 bytes, counts in 1, and in 8 those that 255 stands for.
+_TRAINING = "lang string, at binary, n binary, many binary"
+
+
+def _thin(tf: np.ndarray) -> tuple[bytes, bytes, bytes]:
+    """A row of counts as at, n and many."""
+    at = np.flatnonzero(tf)
+    n = tf[at]
+    return at.astype(np.uint16).tobytes(), np.minimum(n, 255).astype(np.uint8).tobytes(), n[n >= 255].astype(np.int64).tobytes()
+
+
+def _rows(part: pa.RecordBatch, numbers: dict[str, int]) -> _Rows:
+    """Rows of such a table."""
+    at, n, many = (part.column(x).to_pylist() for x in ("at", "n", "many"))
+    long, n = np.array([len(x) for x in n]), np.frombuffer(b"".join(n), np.uint8).astype(np.int64)
+    n[n == 255] = np.frombuffer(b"".join(many), np.int64)
+    lang = np.array([numbers[x] for x in part.column("lang").to_pylist()], np.int64)
+    return _Rows(lang, np.cumsum(long) - long, np.frombuffer(b"".join(at), np.uint16).astype(np.int64), n)
+
+
 def _wide(n: np.ndarray) -> pa.RecordBatch:
     """Sums as rows of WIDE numbers, without the rows that are all 0."""
     n = np.pad(n.reshape(-1), (0, -n.size % WIDE)).reshape(-1, WIDE)
@@ -319,17 +505,20 @@ class _Array:
     """Training rows in memory: numbers of languages, and counts."""
 
     def __init__(self, lang: np.ndarray, tf: np.ndarray) -> None:
-        self.slices = [(lang[i : i + SLICE], tf[i : i + SLICE]) for i in range(0, len(tf), SLICE)]
+        self.slices = []
+        for i in range(0, len(tf), SLICE):
+            row, at = np.nonzero(part := tf[i : i + SLICE])
+            self.slices.append(_Rows(lang[i : i + SLICE], np.searchsorted(row, np.arange(len(part))), at, part[row, at]))
 
     def total(self, size: int, f: Callable, *args) -> np.ndarray:
-        return sum((f(*x, *args) for x in self.slices), np.zeros(size, np.int64))
+        return sum((f(x, *args) for x in self.slices), np.zeros(size, np.int64))
 
     def least(self, f: Callable, *args) -> dict[int, np.ndarray]:
         return {x: _unpacked(tf) for x, (_, tf) in _least(iter(self.slices), f, args).items()}
 
 
 class _Table:
-    """Training rows in a table of lang and tf (packed counts)."""
+    """Training rows in a table of _TRAINING."""
 
     def __init__(self, rows: DataFrame, langs: list[str]) -> None:
         self.rows, self.numbers = rows, {x: i for i, x in enumerate(langs)}
@@ -338,12 +527,9 @@ class _Table:
         """What then makes of a function from batches to f(slices, args)."""
         numbers, shared = self.numbers, self.rows.sparkSession.sparkContext.broadcast(args)
 
-        def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[_Rows]:
             for b in batches:
-                for i in range(0, len(b), SLICE):
-                    part = b.slice(i, SLICE)
-                    lang = np.array([numbers[x] for x in part.column("lang").to_pylist()])
-                    yield lang, np.stack([_unpacked(x) for x in part.column("tf").to_pylist()])
+                yield from (_rows(b.slice(i, SLICE), numbers) for i in range(0, len(b), SLICE))
 
         got = then(lambda batches: f(slices(batches), shared.value))
         shared.destroy()
@@ -353,7 +539,7 @@ class _Table:
         def each(slices: Iterator, args: tuple) -> np.ndarray:
             n = np.zeros(size, np.int64)
             for x in slices:
-                n += f(*x, *args)
+                n += f(x, *args)
             return n
 
         return self._run(each, args, lambda of: _summed(self.rows, of, size))
@@ -434,11 +620,13 @@ def _with_counts(docs: DataFrame) -> DataFrame:
         for b in batches:
             for i in range(0, len(b), SLICE):
                 part = b.slice(i, SLICE)
-                got = [counts(x.as_py()) for x in part.column("text")]
-                tf = pa.array([None if x is None else _packed(x) for x in got], pa.binary())
-                yield pa.RecordBatch.from_arrays([part.column("lang"), tf], names=["lang", "tf"])
+                got = [(lang, *_thin(tf)) for lang, x in zip(part.column("lang"), part.column("text"), strict=True) if (tf := counts(x.as_py())) is not None]
+                if got:
+                    types = (part.schema.field("lang").type, pa.binary(), pa.binary(), pa.binary())
+                    columns = [pa.array(x, t) for x, t in zip(zip(*((lang.as_py(), *y) for lang, *y in got), strict=True), types, strict=True)]
+                    yield pa.RecordBatch.from_arrays(columns, names=["lang", "at", "n", "many"])
 
-    return docs.select("lang", "text").mapInArrow(each, "lang string, tf binary").where("tf is not null")
+    return docs.select("lang", "text").mapInArrow(each, _TRAINING)
 
 
 def _distances(docs: DataFrame, model: Model) -> np.ndarray:
@@ -448,8 +636,9 @@ def _distances(docs: DataFrame, model: Model) -> np.ndarray:
     def each(batches: Iterator[pa.RecordBatch]) -> np.ndarray:
         n = np.zeros((CLASSES, 2, STEPS + 1), np.int64)
         for b in batches:
-            for text, lang in zip(b.column("text"), b.column("lang"), strict=True):
-                shared.value.distances(text.as_py(), lang.as_py(), n)
+            langs = b.column("lang").to_pylist()
+            for x in set(langs):
+                shared.value.spread((b.column("text")[i].as_py() for i, y in enumerate(langs) if x == y), x, n)
         return n
 
     n = _summed(docs.select("lang", "text"), each, CLASSES * 2 * (STEPS + 1))

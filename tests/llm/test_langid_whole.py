@@ -104,3 +104,36 @@ def test_tasks_send_few_rows(spark, monkeypatch):
         model.distances(r["text"], r["lang"], want)
     assert (got == want).all()
     assert len(made) == 1 and made[0] <= 16 * 300
+
+
+def test_training_rows_hold_what_occurs(spark):
+    """What each round reads of a text grows with its different n-grams; 4096 bytes a text before."""
+    texts = ["the cat", "a" * 700, "ab " * 255, "ab " * 256, "the dog and the cat " * 3000]
+    table = spark.createDataFrame([(x, "en") for x in texts], "text string, lang string").coalesce(1)
+    got = langid._with_counts(table).toArrow()
+    want = [langid.counts(x) for x in texts]
+    for i, tf in enumerate(want):
+        size = sum(len(got[c][i].as_py()) for c in got.column_names if c != "lang")
+        assert size <= 3 * np.count_nonzero(tf) + 8 * (tf >= 255).sum()
+    rows = langid._rows(got.combine_chunks().to_batches()[0], {"en": 0})
+    assert all((rows.dense(i) == tf).all() for i, tf in enumerate(want))
+
+
+def test_texts_cut_together(monkeypatch):
+    """Pieces count the same, whatever texts are beside theirs."""
+    rnd = np.random.default_rng(3)
+    texts = ["".join(rnd.choice(list("abcde fgh, éß我"), n)) for n in [1, 2, 3, 4, 5, 7, 8, 9, 15, 16, 17, 31, 33, 64, 65, 100, 129, 1000, 40000, 70000]]
+    texts += ["".join(chr(0x4E00 + i) for i in range(20000)), "xy " * 30000, "123", ""]
+    tf = np.array([x for t in texts if (x := langid.counts(t)) is not None])
+    model = langid.train(tf, ["one"] * len(tf))
+    shape = (langid.CLASSES, 2, langid.STEPS + 1)
+    want, got = np.zeros(shape, np.int64), np.zeros(shape, np.int64)
+    for t in texts:
+        model.distances(t, "one", want)
+    model.spread(texts, "one", got)
+    assert (got == want).all()
+    monkeypatch.setattr(langid, "TOGETHER", 50)
+    monkeypatch.setattr(langid, "PLACES", 64)
+    got[:] = 0
+    model.spread(reversed(texts), "one", got)
+    assert (got == want).all()
